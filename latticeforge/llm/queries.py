@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, substrings
+from . import embeddings, mixing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_simhash_near_dedup": simhash.query,
+        "op7_embedding_near_dedup": embeddings.query,
         "op8_substring_dedup": substrings.query,
         "op10_source_mixing": mixing.query,
     }
