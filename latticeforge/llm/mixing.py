@@ -19,7 +19,7 @@ from ._common import WORD, cut, table
 GOLDEN = 0.6180339887498949
 
 #: Rows that one task sorts to rank them, and cells of the range join of points with sources.
-ROWS_PER_GROUP, CELLS = 20_000, 4096
+ROWS_PER_GROUP, CELLS = 2_000, 4096
 
 
 def words_in(text: Column) -> Column:
