@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, simhash, substrings
+from . import embeddings, mixing, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_toxicity": toxicity.query,
         "op5_simhash_near_dedup": simhash.query,
         "op7_embedding_near_dedup": embeddings.query,
         "op8_substring_dedup": substrings.query,
