@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, simhash, substrings, toxicity
+from . import decontamination, embeddings, mixing, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op4_toxicity": toxicity.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op6_benchmark_decontamination": decontamination.query,
         "op7_embedding_near_dedup": embeddings.query,
         "op8_substring_dedup": substrings.query,
         "op10_source_mixing": mixing.query,
