@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, mixing, simhash, substrings, toxicity
+from . import decontamination, embeddings, lines, mixing, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,9 +18,13 @@ def queries() -> dict[str, Query]:
         "op6_benchmark_decontamination": decontamination.query,
         "op7_embedding_near_dedup": embeddings.query,
         "op8_substring_dedup": substrings.query,
+        "op9_line_dedup": lines.query,
         "op10_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op9_line_dedup": lines.ORACLE_SQL,
+        "op10_source_mixing": mixing.ORACLE_SQL,
+    }
