@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def _set_folder(spark: SparkSession) -> None:
+    """Use the folder that the session names in spark.checkpoint.dir.
 
-    Lost executors then cost no recomputation. The folder is the one that the session names in
-    spark.checkpoint.dir; a temporary one is made only where none is set and Spark runs in this process.
+    A temporary one is made only where none is set and Spark runs in this process.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -31,11 +32,37 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there: lost executors cost no recomputation."""
+    _set_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    release(spark)
+    release(df.sparkSession)
     return out
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function like ``cut`` that writes compressed tables; they are deleted at the end of the block."""
+    _set_folder(spark)
+    jvm, paths = spark.sparkContext._jvm, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        release(spark)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

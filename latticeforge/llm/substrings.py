@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table, text_or_empty
+from ._common import cut, table, tables, text_or_empty
 
 # Odd multipliers of a well-known 64-bit mixing function.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_VOCABULARY = 1_000_000
+_VOCABULARY = 300_000
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,8 +135,8 @@ def _full_level(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, plain = _Words(), zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("k", "h", "s", "g", "w", "run")}
-            for k, packed, at in zip(batch.column("k").to_pylist(), batch.column("packed").to_pylist(), batch.column("at"), strict=True):
+            out: dict[str, list] = {n: [] for n in ("k", "n", "h", "s", "g", "w", "run")}
+            for k, n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "packed")), batch.column("at"), strict=True):
                 words = hashes(plain.decompress(packed).split())
                 quarter, anchor, starts = _anchors(words, length)
                 full = _windows(words, length)
@@ -145,12 +145,13 @@ def _full_level(length: int):
                 for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
                     blob = full[s:e].tobytes()
                     out["k"].append(k)
+                    out["n"].append(n)
                     out["h"].append(int(quarter[anchor[s]].view(np.int64)))
                     out["s"].append(s)
                     out["g"].append(e - s)
                     out["w"].append(blob)
                     out["run"].append(text_key(blob))
-            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["s"], pa.int32()), pa.array(out["g"], pa.int32()), pa.array(out["w"], pa.binary()), pa.array(out["run"], pa.int64())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["s"], pa.int32()), pa.array(out["g"], pa.int32()), pa.array(out["w"], pa.binary()), pa.array(out["run"], pa.int64())], names=list(out))
 
     return scan
 
@@ -237,30 +238,33 @@ def repeated_windows(docs: DataFrame, length: int = 35, id_column: str = "doc_id
     rows = cut(texts.mapInArrow(_summaries(length), "id long, k long, n_words long, sha binary"))
     copies = cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("id")))
 
-    # Quarter windows.
-    anchors = texts.select("text").mapInArrow(_first_level(length), "k long, h long, p int, l long, r long")
-    anchors = cut(anchors.join(_repeated(anchors, ["h"]), "h", "left_semi"))
-    # Half windows: to the left and to the right of a quarter window that is left.
-    halves = anchors.select("k", "p", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("x")), F.struct(F.lit(1).alias("side"), F.col("r").alias("x")))).alias("half")).select("k", "p", "half.side", "half.x").where("x != 0")
-    halves = halves.join(_repeated(halves, ["side", "x"]), ["side", "x"], "left_semi")
-    wanted = cut(halves.groupBy("k").agg(F.collect_set("p").alias("at")))
-    # Full windows around those, one text for all its copies.
+    spark = docs.sparkSession
     packed = texts.mapInArrow(_packed, "id long, k long, packed binary")
-    one = wanted.join(copies, "k")
-    same = (packed["k"] == one["k"]) & packed["id"].eqNullSafe(one["id"])
-    runs = packed.join(one, same).select(packed["k"], "packed", "at").mapInArrow(_full_level(length), "k long, h long, s int, g int, w binary, run long")
-    runs = cut(runs.join(copies.select("k", F.least("n", F.lit(2)).alias("n")), "k"))
-    whole = cut(runs.groupBy("h", "run").agg(F.sum("n").alias("n"), F.min_by("w", "s").alias("w")))
-    # Where all runs with an anchor are equal, their number decides; else each window counts.
-    mixed = _repeated(whole, ["h"])
-    windows = whole.join(mixed, "h", "left_semi").select("h", "run", "n", "w").mapInArrow(_spread, "h long, run long, j int, x long, n long")
-    windows = windows.join(_repeated(windows, ["h", "x"], "n"), ["h", "x"], "left_semi").select("h", "run", F.col("j").alias("j"))
-    single = whole.where("n = 1").select("h", "run")
-    parts = windows.join(single, ["h", "run"], "left_semi")
-    alone = runs.where("n = 1")
-    spans = alone.join(whole.where("n > 1").select("h", "run"), ["h", "run"], "left_semi").select("k", "s", "g")
-    spans = spans.union(alone.select("k", "s", "h", "run").join(parts, ["h", "run"]).select("k", (F.col("s") + F.col("j")).alias("s"), F.lit(1).alias("g")))
-    spans = cut(spans.groupBy("k").agg(F.collect_list(F.struct("s", "g")).alias("spans")))
+    with tables(spark) as keep_quarters:
+        # Quarter windows.
+        anchors = keep_quarters(texts.select("text").mapInArrow(_first_level(length), "k long, h long, p int, l long, r long"))
+        with tables(spark) as keep_halves:
+            left = keep_halves(anchors.join(_repeated(anchors, ["h"]), "h", "left_semi"))
+            # Half windows: to the left and to the right of a quarter window that is left.
+            side = lambda n, x: F.struct(F.lit(n).alias("side"), F.col(x).alias("x"))
+            halves = left.select("k", "p", F.explode(F.array(side(0, "l"), side(1, "r"))).alias("half")).select("k", "p", "half.side", "half.x").where("x != 0")
+            halves = halves.join(_repeated(halves, ["side", "x"]), ["side", "x"], "left_semi")
+            wanted = cut(halves.groupBy("k").agg(F.collect_set("p").alias("at")))
+    with tables(spark) as keep:
+        # Full windows around those, one text for all its copies.
+        one = wanted.join(copies.select("k", "id", F.least("n", F.lit(2)).alias("n")), "k")
+        same = (packed["k"] == one["k"]) & packed["id"].eqNullSafe(one["id"])
+        runs = packed.join(one, same).select(packed["k"], "n", "packed", "at").mapInArrow(_full_level(length), "k long, n long, h long, s int, g int, w binary, run long")
+        runs = keep(runs)
+        whole = keep(runs.groupBy("h", "run").agg(F.sum("n").alias("n"), F.min_by("w", "s").alias("w")))
+        # Where all runs with an anchor are equal, their number decides; else each window counts.
+        mixed = _repeated(whole, ["h"])
+        windows = keep(whole.join(mixed, "h", "left_semi").select("h", "run", "n", "w").mapInArrow(_spread, "h long, run long, j int, x long, n long"))
+        found = windows.join(_repeated(windows, ["h", "x"], "n"), ["h", "x"], "left_semi").where("n = 1").select("h", "run", "j")
+        alone = runs.where("n = 1").select("k", "s", "g", "h", "run")
+        spans = alone.join(whole.where("n > 1").select("h", "run"), ["h", "run"], "left_semi").select("k", "s", "g")
+        spans = spans.union(alone.select("k", "s", "h", "run").join(found, ["h", "run"]).select("k", (F.col("s") + F.col("j")).alias("s"), F.lit(1).alias("g")))
+        spans = cut(spans.groupBy("k").agg(F.collect_list(F.struct("s", "g")).alias("spans")))
     return Found(rows, copies, spans, packed)
 
 
