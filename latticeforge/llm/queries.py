@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html, lines, mixing, simhash, substrings, toxicity
+from . import decontamination, embeddings, html, lines, mixing, pii, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_surrogates": pii.query,
         "op2_html_extraction": html.query,
         "op4_toxicity": toxicity.query,
         "op5_simhash_near_dedup": simhash.query,
