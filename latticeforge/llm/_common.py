@@ -34,6 +34,12 @@ def _set_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    _set_folder(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there: lost executors cost no recomputation."""
     _set_folder(df.sparkSession)

@@ -67,14 +67,15 @@ def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", te
     return lines.select("id", "key", gone.alias("gone"))
 
 
-def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", removed: str | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", removed: str | None = None, length_column: str | None = None) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from the text; all rows and columns stay.
 
     A run is ``run`` or more consecutive lines, blank ones not counted, that are equal, after trimming ASCII white space,
     to lines that begin earlier: in a row of a smaller id, or further up. Runs are judged on the input, so the
     first occurrence always stays. Blank lines stay. Null texts stay null, and texts without repeats as they are. Null
     ids come first; rows that repeat id and text are treated alike; an empty table gives none. ``removed`` names a
-    column to add, with the number of lines deleted.
+    column to add, with the number of lines deleted; ``length_column`` one of ``docs`` that is set to the new length in
+    code points of the texts that change.
     """
     if run < 1:
         raise ValueError("a run has one line at least")
@@ -85,7 +86,10 @@ def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text
     joined = docs.join(found, docs[id_column].cast("long").eqNullSafe(F.col(id_f)) & (F.xxhash64(text) == F.col(key_f)), "left")
     lines = F.zip_with(F.split(text, "\n", -1), gone_f, lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
     kept = F.array_join(F.filter(lines, lambda line: line.isNotNull()), "\n")
-    columns = [F.when(F.col(gone_f).isNull(), joined[c]).otherwise(kept).alias(c) if c == text_column else joined[c] for c in docs.columns]
+    changed = {text_column: kept}
+    if length_column is not None:
+        changed[length_column] = F.length(kept).cast(docs.schema[length_column].dataType)
+    columns = [F.when(F.col(gone_f).isNull(), joined[c]).otherwise(changed[c]).alias(c) if c in changed else joined[c] for c in docs.columns]
     if removed is not None:
         columns.append(F.coalesce(F.size(F.filter(gone_f, lambda x: x)), F.lit(0)).alias(removed))
     return joined.select(*columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html, lines, mixing, pii, simhash, substrings, toxicity
+from . import decontamination, embeddings, html, licenses, lines, mixing, pii, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii_surrogates": pii.query,
         "op2_html_extraction": html.query,
+        "op3_license_scan": licenses.query,
         "op4_toxicity": toxicity.query,
         "op5_simhash_near_dedup": simhash.query,
         "op6_benchmark_decontamination": decontamination.query,
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": licenses.ORACLE_SQL,
         "op9_line_dedup": lines.ORACLE_SQL,
         "op10_source_mixing": mixing.ORACLE_SQL,
     }
