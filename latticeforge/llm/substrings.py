@@ -185,12 +185,13 @@ def _summaries(length: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _encoded(batch.column("text"))
-            words = [t.split() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())],
-                names=["id", "k", "n_words", "sha"],
-            )
+            keys, sizes, hashes = [], [], []
+            for text in _encoded(batch.column("text")):
+                words = text.split()
+                keys.append(text_key(text))
+                sizes.append(len(words))
+                hashes.append(hashlib.sha256(b" ".join(words)).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "k", "n_words", "sha"])
 
     return scan
 
