@@ -21,7 +21,7 @@ def parse_veg(lines: DataFrame) -> Graph:
     vertex become attributes, those of an edge are dropped.
     """
     parts = F.split("value", "\t", 2)
-    rows = lines.where(F.col("value").contains("\t")).select(parts[0].alias("kind"), parts[1].alias("body"))
+    rows = lines.where(F.col("value").contains("\t")).select(F.get(parts, 0).alias("kind"), F.get(parts, 1).alias("body"))
     rows = rows.withColumn("obj", F.from_json("body", _ATTRIBUTES))
     required = F.when(F.col("kind") == "vertex", F.col("obj")["id"].isNotNull() & F.col("obj")["label"].isNotNull()).when(
         F.col("kind") == "edge", F.col("obj")["src"].isNotNull() & F.col("obj")["targ"].isNotNull() & F.col("obj")["label"].isNotNull()
@@ -226,5 +226,5 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 def read_probabilities(lines: DataFrame) -> tuple[DataFrame, int]:
     """(pr, pattern) of numbered lines ``pr, pattern``, the first line of a pattern counting; and the number of lines."""
     parts = F.split("value", ",", 2)
-    rows = lines.where(F.trim("value") != "").select("line", F.trim(parts[0]).cast("double").alias("pr"), F.trim(parts[1]).alias("pattern"))
+    rows = lines.where(F.trim("value") != "").select("line", F.trim(F.get(parts, 0)).cast("double").alias("pr"), F.trim(F.get(parts, 1)).alias("pattern"))
     return rows.groupBy("pattern").agg(F.min_by("pr", "line").alias("pr")).select("pr", "pattern"), rows.count()
