@@ -30,7 +30,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])",
     "name": rf"(?<![{_ALNUM}]){_TITLE}\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![{_ALNUM}])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity begins inside a word; saying so first spares the trial of every kind at most places.
+PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 _DIGITS = ("phone", "ssn", "card")
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|[Гг]оспожа)"
 
