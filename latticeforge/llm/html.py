@@ -7,8 +7,9 @@ classes are nested in it if all their tokens always lie between the same two of
 the template. Blocks of text that belong to it are the same on the host's pages and go; the blocks left fill the
 slots, of which those of the article stay: slots in menus, forms and the like, told by the elements around them, go.
 
-Occurrence vectors are compared by a sum of hashes of (page, count), which partial aggregation combines: no task holds a
-host. Templates join pages on host and a salt, so a host with a third of all pages is spread out.
+Occurrence vectors are compared by an exclusive or of hashes of (page, count), which partial aggregation combines: no task holds a
+host. Templates of a counted, small size are broadcast; beyond that they join pages on host and a salt, so a host with a
+third of all pages is spread out.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, table, tables
 
 #: Least pages of a host to deduce a template from, least share of them that a class occurs in, least tokens of a class.
 PAGES, SHARE, TOKENS, SALTS = 4, 0.6, 3, 64
+#: Template tokens of all hosts that may be broadcast, 8 bytes each; more join on host and salt.
+FEW = 200_000
 
 # Element names and words of the HTML standard and of common page designs.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,10 +196,10 @@ def main_text(html: str | None, template: set[int]) -> str:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: (host, page, token, times, first, is_text)."""
+    """Per page: (h, page, token, times, first, is_text); h is the host's key."""
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("host", "page", "token", "times", "first", "is_text")}
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        out: dict[str, list] = {n: [] for n in ("h", "page", "token", "times", "first", "is_text")}
+        for host, html in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist(), strict=True):
             _, tokens = parse(html)
             page = token_hash(html or "")
             times, first = Counter(t for t, _ in tokens), {}
@@ -205,36 +208,35 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, i in first.items():
                 for name, value in zip(out, (host, page, token_hash(t), times[t], i, t[0] == "T"), strict=True):
                     out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=list(out))
 
 
 def templates(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, least_tokens: int = TOKENS) -> DataFrame:
-    """(host, token): the text tokens of each host's template. ``pages`` has columns host and html."""
-    rows = cut(pages.select("host", "html").mapInArrow(_tokens, "host string, page long, token long, times long, first long, is_text boolean").distinct())
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    # Occurrence vectors: equal sums of hashes stand for equal vectors.
-    part = lambda salt: F.sum(F.xxhash64(F.lit(salt), "page", "times").cast("decimal(20,0)"))
-    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("n"), part(1).alias("v1"), part(2).alias("v2"), F.max("is_text").alias("is_text"))
-    vectors = vectors.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(least_pages), F.ceil(F.col("pages") * share)))
-    vectors = vectors.withColumn("class", F.xxhash64("n", "v1", "v2"))
-    classes = vectors.groupBy("host", "class").agg(F.count("*").alias("tokens"), F.max("n").alias("n")).where(F.col("tokens") >= least_tokens)
-    members = vectors.join(classes.select("host", "class", "tokens", "n").withColumnRenamed("n", "in_pages"), ["host", "class"]).select("host", "token", "class", "tokens", "in_pages", "is_text")
-    members = cut(members)
-    # Valid: a token has the same rank among its class in every page.
-    seen = rows.drop("is_text").join(members, ["host", "token"])
-    in_class = Window.partitionBy("host", "page", "class").orderBy("first")
-    ranked = cut(seen.withColumn("rank", F.row_number().over(in_class)))
-    ordered = ranked.groupBy("host", "class", "token").agg((F.min("rank") == F.max("rank")).alias("same"))
-    valid = ordered.groupBy("host", "class").agg(F.min("same").alias("valid")).where("valid").select("host", "class")
-    # Root: the valid class of the most pages, then tokens. Nested: all tokens in one gap of the root, in every page.
-    best = members.select("host", "class", "tokens", "in_pages").distinct().join(valid, ["host", "class"])
-    root = best.groupBy("host").agg(F.max_by("class", F.struct("in_pages", "tokens", "class")).alias("root"))
-    placed = ranked.join(valid, ["host", "class"]).join(root, "host")
-    before = Window.partitionBy("host", "page").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("gap", F.coalesce(F.sum((F.col("class") == F.col("root")).cast("int")).over(before), F.lit(0)))
-    nested = placed.groupBy("host", "class").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.first("root").alias("root"))
-    nested = nested.where("class = root or low = high").select("host", "class")
-    return members.where("is_text").join(nested, ["host", "class"]).select("host", "token")
+    """(h, token): the text tokens of each host's template. ``pages`` has columns h, the host's key, and html."""
+    with tables(pages.sparkSession) as keep:
+        rows = keep(pages.select("h", "html").mapInArrow(_tokens, "h long, page long, token long, times int, first int, is_text boolean").distinct())
+        sizes = rows.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+        # Occurrence vectors: equal numbers of pages and equal combined hashes stand for equal vectors.
+        vectors = rows.groupBy("h", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("v"), F.max("is_text").alias("is_text"))
+        vectors = vectors.join(sizes, "h").where(F.col("n") >= F.greatest(F.lit(least_pages), F.ceil(F.col("pages") * share)))
+        vectors = keep(vectors.select("h", "token", "n", F.xxhash64("n", "v").alias("class"), "is_text"))
+        classes = vectors.groupBy("h", "class").agg(F.count("*").alias("tokens"), F.max("n").alias("in_pages")).where(F.col("tokens") >= least_tokens)
+        members = keep(vectors.join(classes, ["h", "class"]).select("h", "token", "class", "tokens", "in_pages", "is_text"))
+        # Valid: a token has the same rank among its class in every page.
+        seen = rows.select("h", "page", "token", "first").join(members.select("h", "token", "class"), ["h", "token"])
+        in_class = Window.partitionBy("h", "page", "class").orderBy("first")
+        ranked = keep(seen.withColumn("rank", F.row_number().over(in_class)))
+        ordered = ranked.groupBy("h", "class", "token").agg((F.min("rank") == F.max("rank")).alias("same"))
+        valid = keep(ordered.groupBy("h", "class").agg(F.min("same").alias("valid")).where("valid").select("h", "class"))
+        # Root: the valid class of the most pages, then tokens. Nested: all tokens in one gap of the root, in every page.
+        best = members.select("h", "class", "tokens", "in_pages").distinct().join(valid, ["h", "class"])
+        root = best.groupBy("h").agg(F.max_by("class", F.struct("in_pages", "tokens", "class")).alias("root"))
+        placed = ranked.join(valid, ["h", "class"]).join(root, "h")
+        before = Window.partitionBy("h", "page").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("gap", F.coalesce(F.sum((F.col("class") == F.col("root")).cast("int")).over(before), F.lit(0)))
+        nested = placed.groupBy("h", "class").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.first("root").alias("root"))
+        nested = nested.where("class = root or low = high").select("h", "class")
+        return cut(members.where("is_text").join(nested, ["h", "class"]).select("h", "token"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +254,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kind = dict(pages.dtypes)["page_id"]
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    found = templates(rows)
-    found = found.groupBy("host").agg(F.collect_set("token").alias("template"))
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.xxhash64(host).alias("h"))
+    tokens = templates(rows)
+    found = tokens.groupBy("h").agg(F.collect_set("token").alias("template"))
+    if tokens.count() <= FEW:
+        joined = rows.join(F.broadcast(found), "h", "left")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left")
     return joined.select("page_id", "url", "html", "template").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from latticeforge.llm import html
 
 SCHEMA = "page_id long, url string, html string, host int, template string"
@@ -74,11 +76,15 @@ def test_templates_against_brute_force(spark):
     rng = random.Random(8)
     rows = [("a", page(rng, article(rng, rng.randint(1, 6)))) for _ in range(9)] + [("b", page(rng, article(rng))) for _ in range(3)]
     rows += [("c", page(rng, article(rng), rng.choice(["Share", "Tell"]))) for _ in range(8)] + [("a", rows[0][1])] * 3 + [("a", None), ("c", "")]
-    got = [tuple(r) for r in html.templates(spark.createDataFrame(rows, "host string, html string")).collect()]
+    keys = {"a": 1, "b": 2, "c": 3}
+    rows = [(keys[h], t) for h, t in rows]
+    got = [tuple(r) for r in html.templates(spark.createDataFrame(rows, "h long, html string")).collect()]
     assert Counter(got) == Counter(brute_templates(rows)) and got
 
 
-def test_extraction(spark):
+@pytest.mark.parametrize("few", [0, html.FEW])
+def test_extraction(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "FEW", few)
     rng = random.Random(9)
     rows, want = [], {}
     for i in range(40):
