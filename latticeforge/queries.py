@@ -353,7 +353,7 @@ def graple_matrices(spark, d):
     return reporters.matrices(nodes, lattices.sublattice_edges(edges, nodes))
 
 
-_SETS = "SELECT user_id::VARCHAR AS key, list_sort(list_distinct(list(event_type || ':' || (value // 20)::INT::VARCHAR))) AS items FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND user_id % 4 = 0 GROUP BY user_id"
+_SETS = "SELECT user_id::VARCHAR AS key, list_sort(list_distinct(list(event_type || ':' || floor(value / 20)::INT::VARCHAR))) AS items FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id"
 
 
 def _user_sets(spark, d):
@@ -363,7 +363,7 @@ def _user_sets(spark, d):
     return events.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.array_sort(F.collect_set(item)).alias("labels"))
 
 
-@query("WITH s AS (" + _SETS.replace(" AND user_id % 4 = 0", "").replace("(value // 20)::INT", "floor(value / 20)::INT") + "), p AS (SELECT a.key AS a, b.key AS b, 1 - len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))::DOUBLE AS distance FROM s a JOIN s b ON a.key < b.key) SELECT a, b, round(distance, 9) AS distance FROM p WHERE distance <= 0.2 + 1e-12")
+@query("WITH s AS (" + _SETS + "), p AS (SELECT a.key AS a, b.key AS b, 1 - len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))::DOUBLE AS distance FROM s a JOIN s b ON a.key < b.key) SELECT a, b, round(distance, 9) AS distance FROM p WHERE distance <= 0.2 + 1e-12")
 def dbscan_pairs(spark, d):
     """REP-6, REP-8: pairs of users whose sets are at most 0.2 apart."""
     return reporters.jaccard_pairs(_user_sets(spark, d), 0.2, items="labels").select("a", "b", F.round("distance", 9).alias("distance"))
@@ -466,9 +466,7 @@ def _paths(graph: Graph, shape: str) -> DataFrame:
         rows = a.join(b, F.col("targ_a") == F.col("src_b")).where("src_a <> targ_b")
         return rows.select(F.concat_ws("|", "src_label_a", "label_a", "targ_label_a", "label_b", "targ_label_b").alias("key"), F.array("src_a", "targ_a", "targ_b").alias("ids"))
     hub, leaf = ("src", "targ") if shape == "out" else ("targ", "src")
-    first, second = (F.struct(f"{leaf}_label_{s}", f"label_{s}").alias("k") for s in "ab")
     ordered = F.concat_ws("|", f"{leaf}_label_a", "label_a") <= F.concat_ws("|", f"{leaf}_label_b", "label_b")
-    del first, second
     rows = a.join(b, F.col(f"{hub}_a") == F.col(f"{hub}_b")).where((F.col(f"{leaf}_a") != F.col(f"{leaf}_b")) & ordered)
     key = F.concat_ws("|", f"{hub}_label_a", f"{leaf}_label_a", "label_a", f"{leaf}_label_b", "label_b")
     return rows.select(key.alias("key"), F.array(f"{hub}_a", f"{leaf}_a", f"{leaf}_b").alias("ids"))
@@ -502,10 +500,6 @@ def mni_out_star2(spark, d):
     return digraphs.mni(_paths(star_graph(spark, d), "out"))
 
 
-_AB = "{1:2}(BUILDING)(1-URGENT)[1->0:placed_by]"
-_ABC = "{2:3}(1-URGENT)(BUILDING)(CHINA)[0->1:placed_by][1->2:in]"
-
-
 @query(G_SQL + "SELECT a.src AS o, a.targ AS c, b.targ AS n FROM le a JOIN le b ON a.targ = b.src WHERE a.sl = '1-URGENT' AND a.label = 'placed_by' AND a.tl = 'BUILDING' AND b.label = 'in' AND b.tl = (SELECT n_name FROM nation WHERE n_nationkey = 3)")
 def find_embeddings_path(spark, d):
     """JOIN-4, JOIN-6, JOIN-7, SRC-12: all embeddings of a parsed pattern."""
