@@ -70,9 +70,9 @@ def _rarity(r: int, mean: float) -> float:
     return max(0.0, mean - r * math.log(max(mean, 1e-300)) + math.lgamma(r + 1) - math.log(total))
 
 
-def best_segments(scores: np.ndarray, most: int = 64) -> list[float]:
-    """Scores of the best segments, falling; further ones add nothing to the evidence of a text."""
-    return sorted((s for _, _, s in segments(scores)), reverse=True)[:most]
+def best_segments(scores: np.ndarray) -> list[float]:
+    """Scores of all segments, falling: in a long text the evidence may lie in any number of them."""
+    return sorted((s for _, _, s in segments(scores)), reverse=True)
 
 
 class Model:
@@ -110,7 +110,12 @@ class Model:
         """
         found = 0.0
         for r, s in enumerate(tops, 1):
-            found = max(found, _rarity(r, self.density * max(1, n) * math.exp(-self.scale * s)))
+            mean = self.density * max(1, n) * math.exp(-self.scale * s)
+            # The chance is at least that of exactly r, which is cheap and spares most of the sums.
+            if mean < r and mean - r * math.log(max(mean, 1e-300)) + math.lgamma(r + 1) > found:
+                found = max(found, _rarity(r, mean))
+                if found >= 60.0:
+                    break
         return min(found, 60.0)
 
     def probability(self, text: str | None) -> float:

@@ -29,6 +29,18 @@ def test_segments_against_the_definition():
         assert got == [(a, b) for a, b, _ in brute_segments(scores)]
 
 
+def test_evidence_of_many_scattered_segments():
+    model = toxicity.Model({}, scale=1.0, density=0.3)
+    every = max(toxicity._rarity(r, 0.3 * 20000 * np.exp(-4.0)) for r in range(1, 201))
+    for apart, want in ((100, every), (1000, 0.0)):
+        scores = np.full(20000, -5.0)
+        scores[::apart] = 4.0
+        tops = toxicity.best_segments(scores)
+        assert len(tops) == 20000 // apart
+        assert abs(model.evidence(tops, len(scores)) - want) < 1e-9
+    assert every > 30
+
+
 def corpus(n=600):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(500)]
