@@ -16,6 +16,8 @@ from ._common import cut, fresh, table, text_or_empty
 
 #: Least number of lines of a repeated run.
 RUN = 3
+#: Words at which a shorter run counts too, where runs are judged by content; one word is a run of other than white space.
+WORDS = 25
 
 
 def _trimmed(line: Column) -> Column:
@@ -23,10 +25,10 @@ def _trimmed(line: Column) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    """Lines that are not blank: structs of their place among all lines and two hashes of the trimmed text."""
+    """Lines that are not blank: structs of their place among all lines, two hashes of the trimmed text, and its words."""
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), _trimmed(x).alias("t")))
     kept = F.filter(lines, lambda x: x["t"] != "")
-    return F.transform(kept, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g")))
+    return F.transform(kept, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g"), F.size(F.split(x["t"], r"[\x20\x09-\x0D]+")).alias("w")))
 
 
 def _windows(run: int) -> Column:
@@ -45,7 +47,15 @@ def _windows(run: int) -> Column:
     return F.when(F.size("lines") >= run, F.transform(F.sequence(F.lit(0), F.size("lines") - run), window))
 
 
-def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _wordy(run: int, words: int) -> Column:
+    """Those of the windows of ``run`` elements of column lines that hold ``words`` words or more."""
+    count = lambda i: sum((F.get("lines", i + k)["w"] for k in range(run)), F.lit(0))
+    held = F.transform(F.sequence(F.lit(0), F.size("lines") - run), count)
+    kept = F.filter(F.arrays_zip(_windows(run).alias("w"), held.alias("n")), lambda x: x["n"] >= words)
+    return F.when(F.size("lines") >= run, F.transform(kept, lambda x: x["w"]))
+
+
+def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", words: int | None = None) -> DataFrame:
     """Rows (id, key, gone) of the texts that hold later repeats; key is a hash of the text.
 
     gone holds a boolean per line as far as the last one to delete. Places in the corpus are ordered by (id, key, line),
@@ -53,7 +63,11 @@ def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", te
     """
     text = text_or_empty(docs, text_column)
     rows = cut(docs.select(docs[id_column].cast("long").alias("id"), F.xxhash64(text).alias("key"), _filled(text).alias("lines")).distinct())
-    windows = cut(rows.select("id", "key", F.explode(_windows(run)).alias("w")).select("id", "key", "w.*"))
+    all_windows = _windows(run)
+    if words is not None:
+        none = F.array().cast("array<struct<places:array<int>,a:bigint,b:bigint,fingerprint:bigint>>")
+        all_windows = F.concat(F.coalesce(all_windows, none), *[F.coalesce(_wordy(n, words), none) for n in range(1, run)])
+    windows = cut(rows.select("id", "key", F.explode(all_windows).alias("w")).select("id", "key", "w.*"))
     repeated = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     near = windows.join(repeated, "fingerprint", "left_semi").select("id", "key", "places", "a", "b")
     place = F.struct("id", "key", F.get("places", 0).alias("line"))
@@ -67,7 +81,7 @@ def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", te
     return lines.select("id", "key", gone.alias("gone"))
 
 
-def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", removed: str | None = None, length_column: str | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", removed: str | None = None, length_column: str | None = None, words: int | None = None) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from the text; all rows and columns stay.
 
     A run is ``run`` or more consecutive lines, blank ones not counted, that are equal, after trimming ASCII white space,
@@ -75,11 +89,11 @@ def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text
     first occurrence always stays. Blank lines stay. Null texts stay null, and texts without repeats as they are. Null
     ids come first; rows that repeat id and text are treated alike; an empty table gives none. ``removed`` names a
     column to add, with the number of lines deleted; ``length_column`` one of ``docs`` that is set to the new length in
-    code points of the texts that change.
+    code points of the texts that change. With ``words``, shorter runs of that many words or more are deleted likewise.
     """
     if run < 1:
         raise ValueError("a run has one line at least")
-    found = later_repeats(docs, run, id_column, text_column)
+    found = later_repeats(docs, run, id_column, text_column, words)
     text = text_or_empty(docs, text_column)
     id_f, key_f, gone_f = (fresh(docs, n) for n in ("id_f", "key_f", "gone_f"))
     found = found.select(F.col("id").alias(id_f), F.col("key").alias(key_f), F.col("gone").alias(gone_f))

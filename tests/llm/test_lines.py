@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from latticeforge.llm import lines
 
 SCHEMA = "doc_id long, text string, lines int, key string, gone int"
@@ -42,3 +43,39 @@ def test_null_and_repeated_ids(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in lines.deduplicate(df).collect()), key=str)
     assert got == [(7, ""), (7, ""), (8, "0"), (None, text)]
     assert lines.deduplicate(df.limit(0)).collect() == []
+
+
+def brute_by_content(rows, run, words):
+    """Like brute, but shorter runs of ``words`` words or more count too."""
+    seen, gone = set(), {}
+    for n, (_, text) in enumerate(rows):
+        filled = [(i, x.strip(" \t\n\v\f\r")) for i, x in enumerate((text or "").split("\n"))]
+        filled = [(i, x) for i, x in filled if x]
+        for size in range(1, run + 1):
+            for a in range(len(filled) - size + 1):
+                part = filled[a : a + size]
+                key = tuple(x for _, x in part)
+                if size < run and sum(len(x.split()) for x in key) < words:
+                    continue
+                if key in seen:
+                    gone.setdefault(n, set()).update(i for i, _ in part)
+                seen.add(key)
+    return [text if n not in gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[n]) for n, (_, text) in enumerate(rows)]
+
+
+def test_short_runs_of_many_words(spark):
+    rng = random.Random(8)
+    some = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (1, 2, 5, 11, 12, 13, 14, 24, 25, 26, 60) for _ in range(4)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(some) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(60, some[-3]), (61, some[-3]), (62, None)]
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(df, words=25).collect()}
+    want = brute_by_content(rows, 3, 25)
+    assert [got[i] for i in range(len(rows))] == want != brute(rows, 3)
+    assert got[61] == ""
+
+
+def test_the_stage_deletes_a_long_line_that_repeats(spark):
+    long = " ".join(f"word{i}" for i in range(168))
+    df = spark.createDataFrame([(1, long, "en", "s", 0), (2, "Own line.\n" + long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: (long, 0), 2: ("Own line.", 9)}
