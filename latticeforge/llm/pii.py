@@ -21,7 +21,7 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr
 #: the same characters from every one of them, so the time is linear in the text.
 PATTERNS = {
     "email": rf"(?<![{_ALNUM}._%+-])[{_ALNUM}._%+-]++(?<![.])@[{_ALNUM}-]++(?:\.[{_ALNUM}-]++)+",
-    "secret": rf"(?<![{_ALNUM}]){_LABEL}[A-Za-z0-9+/_-]{{8,}}+",
+    "secret": rf"(?<![{_ALNUM}]){_LABEL}(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}+",
     "access": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -47,6 +47,19 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве во га го да де до жа за зе ка ке ко ла ле ло ма ме мо на не но ра ре ро са та те".split(),
 }
 LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Letters to draw from in scripts without case, or whose case is not kept.
+OTHER = {
+    "Han": "天地人山水火木金土日月星雨雪風花草竹林石田川海江河湖春夏秋冬東西南北中大小多少高長新白黒赤青",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    "Thai": "กขคงจฉชซญดตถทธนบปผพฟมยรลวศสหอ",
+    "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօ",
+    "Georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+}
 ROUNDS = 40
 
 
@@ -84,12 +97,16 @@ def _like(value: Column, stream: Column, keep: Column) -> Column:
     """A keyed string in the format of ``value``: characters change within their class, the first ``keep`` do not."""
 
     def drawn(c: Column, i: Column) -> Column:
-        pick = lambda letters: F.substr(F.lit(letters), _byte(stream, i) % len(letters) + 1, F.lit(1))
-        out = F.when(i < keep, c).when(c.rlike("[0-9]"), pick("0123456789"))
-        for script, letters in LOWER.items():
-            out = out.when(c.rlike(rf"\p{{Is{script.capitalize()}}}") & c.rlike(r"\p{Ll}"), pick(letters))
-            out = out.when(c.rlike(rf"\p{{Is{script.capitalize()}}}") & c.rlike(r"\p{Lu}"), pick(letters.upper()))
-        return out.otherwise(c)
+        letters = F.when(c.rlike("[0-9]"), "0123456789")
+        for script, lower in LOWER.items():
+            letters = letters.when(c.rlike(rf"[\p{{Ll}}&&\p{{Is{script.capitalize()}}}]"), lower)
+            letters = letters.when(c.rlike(rf"[\p{{Lu}}&&\p{{Is{script.capitalize()}}}]"), lower.upper())
+        for script, own in OTHER.items():
+            letters = letters.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), own)
+        # Letters of scripts without a list become Latin ones, and other digits those of ASCII: no value stays as it is.
+        letters = letters.when(c.rlike(r"\p{N}"), "0123456789").when(c.rlike(r"\p{L}"), LOWER["latin"])
+        picked = F.substr(letters, _byte(stream, i) % F.length(letters) + 1, F.lit(1))
+        return F.when(i < keep, c).otherwise(F.coalesce(picked, c))
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), drawn), "")
 

@@ -68,3 +68,14 @@ def test_collisions_are_drawn_again(spark):
 def test_whole_words_without_entities_are_linear(spark):
     df = spark.createDataFrame([(1, "ab" * 300000), (2, "1" * 300000), (3, "a." * 200000)], "doc_id long, text string")
     assert [r["n"] for r in pii.replace_entities(df, count="n").collect()] == [0, 0, 0]
+
+
+def test_values_without_ascii_letters(spark):
+    texts = ["Password: ________", "token: --------", "token: ____abcd1234", "mail 山田太郎@日本語.公司 now", "mail 김철수@한국어.한국 now", "mail ትግርኛ@ኢትዮጵያ.ኢት now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in pii.replace_entities(df, count="n").collect()}
+    assert [got[i] for i in range(2)] == [(t, 0) for t in texts[:2]]
+    assert re.fullmatch(r"token: ____[a-z]{4}\d{4}", got[2][0]) and got[2][0] != texts[2]
+    assert all(got[i][1] == 1 and got[i][0] != texts[i] for i in range(3, len(texts)))
+    assert re.fullmatch(r"mail [\u4e00-\u9fff]{4}@[\u4e00-\u9fff]{3}\.公司 now", got[3][0])
+    assert re.fullmatch(r"mail [\uac00-\ud7a3]{3}@[\uac00-\ud7a3]{3}\.한국 now", got[4][0])
