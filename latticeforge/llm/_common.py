@@ -79,6 +79,11 @@ def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def size_of(array: Column) -> Column:
+    """Elements of an array, none in a null one, whatever spark.sql.ansi.enabled says."""
+    return F.when(array.isNotNull(), F.size(array)).otherwise(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, case ignored."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a minimum per node, combined on the map side, and an equi-join whose hot keys adaptive
-execution may split; a node's whole neighbourhood is never gathered.
+Every step is a minimum per node, combined on the map side and written before it is joined: adaptive execution splits
+the hot keys of a join only if no aggregate stands between it and the shuffle. A node's whole neighbourhood is never
+gathered.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        stars = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(_least(both), "u")
+        stars = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(cut(_least(both)), "u")
         large = stars.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = down.join(_least(down), "u")
+        small = down.join(cut(_least(down)), "u")
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select("u", "m"))
         edges = cut(small.where("a > b").distinct())
         now = _state(edges)

@@ -70,6 +70,89 @@ def test_whole_words_without_entities_are_linear(spark):
     assert [r["n"] for r in pii.replace_entities(df, count="n").collect()] == [0, 0, 0]
 
 
+def test_long_repeats_inside_entities(spark):
+    """Every pattern with a repeated part, 200,000 times: no recursion per repeat."""
+    n = 200_000
+    texts = ["a@b" + ".c" * n, "a" * n + "@b.cc", "Mr. M" + "cMc" * n, "DR. AB" + "-AB" * n, "Mr. Ab Cd " + "Ab " * n, "password=" + "aB3" * n]
+    texts += ["+1" + " 123" * n, "DE89" + " 3704" * n, "1:" * n, "1." * n, "12-" * n, "AKIA" * n, "4111 " * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(df, count="n").collect()}
+    assert len(got) == len(texts) and all(got[i]["n"] >= 1 for i in range(6))
+    assert all(got[i]["text"] != texts[i] for i in range(6))
+
+
+def test_people_are_one_person_with_and_without_title(spark):
+    texts = {
+        1: "Mr. John Smith met Mr. Smith and John Smith. MR. SMITH left.",
+        2: "Later Dr. Smith wrote to John Smith; Yesterday John Smith replied to John Smithson and Smith John.",
+        3: "Mrs. Jane O'Brien-McDonald and Dr. Jane Smith, господин Пётр Иванов, Пётр Иванов.",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_entities(df, count="n").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+) and (\w+) (\w+)\. MR\. ([A-Z]+) left\.", got[1]["text"])
+    assert m and m[1] == m[4] and m[2] == m[3] == m[5] == m[6].capitalize() and (m[1], m[2]) != ("John", "Smith")
+    assert got[2]["text"] == f"Later Dr. {m[2]} wrote to {m[1]} {m[2]}; Yesterday {m[1]} {m[2]} replied to John Smithson and Smith John."
+    k = re.fullmatch(r"Mrs\. (\w+) (\w+) and Dr\. (\w+) (\w+), господин (\w+) (\w+), (\w+) (\w+)\.", got[3]["text"])
+    assert k and k[1] == k[3] and k[4] == m[2] and k[1][-1] == "a" and k[1] != m[1] and (k[5], k[6]) == (k[7], k[8]) and k[6].endswith("ов")
+    assert [got[i]["n"] for i in (1, 2, 3)] == [4, 3, 4]
+
+
+def test_phones_ibans_and_addresses(spark):
+    texts = {1: "555-123-4567 and +1 555-123-4567, +1 (555) 123-4567; +44 555-123-4567", 2: "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432", 3: "2001:db8::ff00:42:8329 and 2001:DB8::FF00:42:8329, fe80:0:0:0:1:2:3:4; not 10:30:00, a::b"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    a = re.fullmatch(r"(\d{3}-\d{3}-\d{4}) and \+1 (\d{3}-\d{3}-\d{4}), \+1 \((\d{3})\) (\d{3}-\d{4}); \+44 (\d{3}-\d{3}-\d{4})", got[1])
+    assert a and a[1] == a[2] == f"{a[3]}-{a[4]}" == a[5] != "555-123-4567"
+    for found, length in zip(got[2].split(", "), (22, 22), strict=True):
+        iban = found.replace(" ", "")
+        assert len(iban) == length and iban[:2] in ("DE", "GB")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    v = re.fullmatch(r"([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}) and (\S+), ([0-9a-f:]+); not 10:30:00, a::b", got[3])
+    assert v and v[2].lower() == v[1] != "2001:db8::ff00:42:8329"
+
+
+def brute(rows):
+    """The entities of all texts by the same pattern, one by one; what must hold between them and what was written."""
+    import regex
+
+    kinds = {k: regex.compile(f"(?:{p})".replace("IsLatin", "Latin").replace("IsCyrillic", "Cyrillic")) for k, p in pii.PATTERNS.items()}
+    pattern = regex.compile(pii.PATTERN)
+    for text in rows:
+        yield text, [(m.start(), m.end(), m[0], next(k for k in kinds if kinds[k].fullmatch(text, m.start(), m.end()))) for m in pattern.finditer(text or "")]
+
+
+def test_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    got = {r["doc_id"]: r for r in pii.replace_entities(docs, count="n").collect()}
+    seen, back = {}, {}
+    for row, (text, found) in zip(rows, brute([r["text"] for r in rows]), strict=True):
+        new = got[row["doc_id"]]
+        assert new["n"] == len(found)
+        shift, at = 0, 0
+        for a, b, value, kind in found:
+            assert new["text"][at + shift : a + shift] == text[at:a]  # nothing else changes
+            stop = new["text"].index(text[b : b + 3] or "\0", a + shift) if text[b : b + 3] else len(new["text"])
+            stop = a + shift + (b - a) if kind != "ip" else stop
+            surrogate = new["text"][a + shift : stop]
+            assert surrogate != value
+            norm = re.sub(r"[ -]", "", value.lower()) if kind in ("iban", "card", "email") else value
+            made = re.sub(r"[ -]", "", surrogate.lower()) if kind in ("iban", "card", "email") else surrogate
+            assert seen.setdefault((kind, norm), made) == made and back.setdefault((kind, made), norm) == norm
+            shift, at = shift + len(surrogate) - (b - a), b
+        assert new["text"][at + shift :] == text[at:]
+    assert len(seen) > 10
+
+
+def test_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, None), (2, "plain"), (3, "to a@b.example.org")], "doc_id long, text string")
+        assert {r["doc_id"]: r["n"] for r in pii.replace_entities(df, count="n").collect()} == {1: 0, 2: 0, 3: 1}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_values_without_ascii_letters(spark):
     texts = ["Password: ________", "token: --------", "token: ____abcd1234", "mail 山田太郎@日本語.公司 now", "mail 김철수@한국어.한국 now", "mail ትግርኛ@ኢትዮጵያ.ኢት now"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
