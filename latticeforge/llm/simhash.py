@@ -14,6 +14,15 @@ from ._common import cut, table, text_or_empty
 from ._components import connected_components
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of unsigned 64-bit ``hashes``, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):  # keeps the unpacked bits small for texts of any length
+        block = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of the word shingles of ``text`` as a signed 64-bit number; 0 if it has no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -27,11 +36,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     starts = (ends - lengths)[: n - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):  # keeps the unpacked bits small for texts of any length
-        block = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
+    return majority(hashes)
 
 
 def fingerprint_column(text: Column, width: int = 3) -> Column:
