@@ -1,10 +1,11 @@
 """Line deduplication by winnowing over line hashes.
 
 Built-in DataFrame functions only. Lines are compared by a hash of their trimmed text; blank lines take no part. In every
-window of ``run`` lines the least hash is selected, so that equal windows select the same line: any repeated run of
-that many lines shares a selected fingerprint. Positions join on fingerprints; around those that occur more than once,
-matches are extended both ways to whole windows, and every window that also begins earlier in the corpus is a later
-repeat. Overlapping windows make up runs, which are deleted.
+window of ``run`` lines the last of the least hashes is selected, and a selected position is kept once, with the lines
+around it as far as the windows reach that selected it. Equal windows select the same line at the same offset, so any
+repeated run of that many lines shares a fingerprint. Fingerprints of a single position go; positions that are left join,
+and their matches are extended both ways over those windows: one that also begins earlier in the corpus is a
+later repeat. Overlapping windows make up runs, which are deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, fresh, table, text_or_empty
+from ._common import cut, fresh, size_of, table, tables, text_or_empty
 
 #: Least number of lines of a repeated run.
 RUN = 3
@@ -31,28 +32,43 @@ def _filled(text: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit(1), x["t"]).alias("g"), F.size(F.split(x["t"], r"[\x20\x09-\x0D]+")).alias("w")))
 
 
-def _windows(run: int) -> Column:
-    """Every window of ``run`` elements of column lines: their places, two hashes of all, and its least hash."""
-    at = lambda i, k, field: F.get("lines", i + k)[field]
+def _selected(start: Column, run: int) -> Column:
+    """The place, among the elements of column lines, of the last least hash of the window that begins at ``start``."""
+    if run == 1:
+        return start
+    least = F.least(*[F.struct(F.get("lines", start + k)["h"].alias("h"), (-(start + k)).alias("p")) for k in range(run)])
+    return -least["p"]
 
-    def window(i: Column) -> Column:
-        hashes = [at(i, k, "h") for k in range(run)]
-        return F.struct(
-            F.array(*[at(i, k, "i") for k in range(run)]).alias("places"),
-            F.xxhash64(*hashes).alias("a"),
-            F.xxhash64(*[at(i, k, "g") for k in range(run)]).alias("b"),
-            (F.least(*hashes) if run > 1 else hashes[0]).alias("fingerprint"),
-        )
 
-    return F.when(F.size("lines") >= run, F.transform(F.sequence(F.lit(0), F.size("lines") - run), window))
+def _starts(run: int) -> Column:
+    return F.when(F.size("lines") >= run, F.sequence(F.lit(0), F.size("lines") - run)).otherwise(F.array().cast("array<int>"))
 
 
-def _wordy(run: int, words: int) -> Column:
-    """Those of the windows of ``run`` elements of column lines that hold ``words`` words or more."""
-    count = lambda i: sum((F.get("lines", i + k)["w"] for k in range(run)), F.lit(0))
-    held = F.transform(F.sequence(F.lit(0), F.size("lines") - run), count)
-    kept = F.filter(F.arrays_zip(_windows(run).alias("w"), held.alias("n")), lambda x: x["n"] >= words)
-    return F.when(F.size("lines") >= run, F.transform(kept, lambda x: x["w"]))
+def _wordy(width: int, words: int, found) -> Column:
+    """What the windows of ``width`` lines select that hold ``words`` words or more."""
+    held = lambda s: sum((F.get("lines", s + k)["w"] for k in range(width)), F.lit(0)) >= words
+    return F.transform(F.filter(_starts(width), held), lambda s: found(width, s, F.lit(1), _selected(s, width)))
+
+
+def positions(rows: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """(id, key, width, h, g, line, near) of every selected position, once, of ``rows`` (id, key, lines).
+
+    h and g are the hashes of the selected line, line its place; near holds the lines of the windows of ``width`` lines
+    that selected it. With ``words``, shorter windows of that many words or more select positions too.
+    """
+    rows = rows.withColumn("selected", F.transform(_starts(run), lambda i: _selected(i, run)))
+    # Windows that select one position follow each other: the first of them, and how many there are.
+    new = lambda i: (i == 0) | (F.get("selected", i) != F.get("selected", i - 1))
+    rows = rows.withColumn("firsts", F.filter(F.when(F.size("selected") > 0, F.sequence(F.lit(0), F.size("selected") - 1)).otherwise(F.array().cast("array<int>")), new))
+    found = lambda width, s, n, p: F.struct(F.lit(width).alias("width"), s.alias("s"), n.alias("n"), p.alias("p"))
+    stop = lambda j: F.coalesce(F.get("firsts", j + 1), F.size("selected"))
+    all_found = F.transform("firsts", lambda s, j: found(run, s, stop(j) - s, F.get("selected", s)))
+    for width in range(1, run) if words is not None else ():
+        all_found = F.concat(all_found, _wordy(width, words, found))
+    out = rows.select("id", "key", "lines", F.explode(all_found).alias("x"))
+    at = F.get("lines", F.col("x.p"))
+    near = F.transform(F.slice("lines", F.col("x.s") + 1, F.col("x.n") + F.col("x.width") - 1), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), x["g"].alias("g")))
+    return out.select("id", "key", "x.width", at["h"].alias("h"), at["g"].alias("g"), at["i"].alias("line"), near.alias("near"))
 
 
 def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", words: int | None = None) -> DataFrame:
@@ -62,23 +78,28 @@ def later_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", te
     null ids first. Rows that repeat both id and text have the same places, and are treated alike.
     """
     text = text_or_empty(docs, text_column)
-    rows = cut(docs.select(docs[id_column].cast("long").alias("id"), F.xxhash64(text).alias("key"), _filled(text).alias("lines")).distinct())
-    all_windows = _windows(run)
-    if words is not None:
-        none = F.array().cast("array<struct<places:array<int>,a:bigint,b:bigint,fingerprint:bigint>>")
-        all_windows = F.concat(F.coalesce(all_windows, none), *[F.coalesce(_wordy(n, words), none) for n in range(1, run)])
-    windows = cut(rows.select("id", "key", F.explode(all_windows).alias("w")).select("id", "key", "w.*"))
-    repeated = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    near = windows.join(repeated, "fingerprint", "left_semi").select("id", "key", "places", "a", "b")
-    place = F.struct("id", "key", F.get("places", 0).alias("line"))
-    first = near.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = near.join(first, ["a", "b"]).where(F.col("first") < place)
-    sorted_lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
-    lines = later.groupBy("id", "key").agg(sorted_lines.alias("lines"))
-    before = F.concat(F.array(F.lit(-1)), F.slice("lines", 1, F.size("lines") - 1))
-    kept_between = F.zip_with("lines", before, lambda line, last: line - last - 1)
-    gone = F.flatten(F.transform(kept_between, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
-    return lines.select("id", "key", gone.alias("gone"))
+    rows = docs.select(docs[id_column].cast("long").alias("id"), F.xxhash64(text).alias("key"), _filled(text).alias("lines"))
+    with tables(docs.sparkSession) as keep:
+        selected = keep(positions(rows, run, words))
+        place = F.struct("id", "key", "line")
+        repeated = selected.groupBy("width", "h", "g").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        repeated = keep(repeated.where("low != high").select("width", "h", "g"))
+        # Both ways from a position: the windows that selected it.
+        near = selected.join(repeated, ["width", "h", "g"], "left_semi")
+        near = near.select("id", "key", "width", "near", F.explode(F.sequence(F.lit(0), F.size("near") - F.col("width"))).alias("j"))
+        window = F.slice("near", F.col("j") + 1, F.col("width"))
+        field = lambda name: F.transform(window, lambda x: x[name])
+        windows = keep(near.select("id", "key", field("i").alias("places"), F.xxhash64(field("h")).alias("a"), F.xxhash64(field("g")).alias("b")))
+        start = F.struct("id", "key", F.get("places", 0).alias("line"))
+        first = windows.groupBy("a", "b").agg(F.min(start).alias("first"), F.max(start).alias("last"))
+        first = keep(first.where("first != last").select("a", "b", "first"))
+        later = windows.join(first, ["a", "b"]).where(F.col("first") < start)
+        sorted_lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
+        lines = later.groupBy("id", "key").agg(sorted_lines.alias("lines"))
+        before = F.concat(F.array(F.lit(-1)), F.slice("lines", 1, F.size("lines") - 1))
+        kept_between = F.zip_with("lines", before, lambda line, last: line - last - 1)
+        gone = F.flatten(F.transform(kept_between, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+        return cut(lines.select("id", "key", gone.alias("gone")))
 
 
 def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text_column: str = "text", removed: str | None = None, length_column: str | None = None, words: int | None = None) -> DataFrame:
@@ -105,7 +126,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text
         changed[length_column] = F.length(kept).cast(docs.schema[length_column].dataType)
     columns = [F.when(F.col(gone_f).isNull(), joined[c]).otherwise(changed[c]).alias(c) if c in changed else joined[c] for c in docs.columns]
     if removed is not None:
-        columns.append(F.coalesce(F.size(F.filter(gone_f, lambda x: x)), F.lit(0)).alias(removed))
+        columns.append(size_of(F.filter(gone_f, lambda x: x)).alias(removed))
     return joined.select(*columns)
 
 

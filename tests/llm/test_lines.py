@@ -79,3 +79,31 @@ def test_the_stage_deletes_a_long_line_that_repeats(spark):
     df = spark.createDataFrame([(1, long, "en", "s", 0), (2, "Own line.\n" + long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
     assert got == {1: (long, 0), 2: ("Own line.", 9)}
+
+
+def test_selection_decides(spark, monkeypatch):
+    """Window minima are selected, each position once; another selection, which equal windows do not share, finds less."""
+    text = "\n".join(f"line {i}" for i in range(60))
+    rows = [(1, "alpha\n" + text), (2, "beta\ngamma\n" + text), (3, text + "\nomega")]
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], SCHEMA)
+    parts = df.selectExpr("doc_id AS id", "hash(text) AS key", "text").withColumn("lines", lines._filled(df["text"])).drop("text").cache()
+    got = lines.positions(parts, 3).collect()
+    want = set()
+    for r in parts.collect():
+        h = [x["h"] for x in r["lines"]]
+        want |= {(r["id"], max(range(i, i + 3), key=lambda k: (-h[k], k))) for i in range(len(h) - 2)}
+    assert {(r["id"], r["line"]) for r in got} == want and len(got) == len(want) < 0.7 * sum(len(r["lines"]) for r in parts.collect())
+    assert all(3 <= len(r["near"]) <= 5 and r["line"] in [x["i"] for x in r["near"]] for r in got)
+    whole = [r["text"] for r in lines.deduplicate(df).orderBy("doc_id").collect()]
+    assert whole == brute(rows, 3)
+    monkeypatch.setattr(lines, "_selected", lambda start, run: start + (start + 1) % 2)  # by place, not by content
+    assert [r["text"] for r in lines.deduplicate(df).orderBy("doc_id").collect()] != whole
+
+
+def test_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, None, 1, "k", 2), (2, "x", 1, "k", 2), (3, "a\nb\nc", 1, "k", 2), (4, "a\nb\nc", 1, "k", 2)], SCHEMA)
+        assert {r["doc_id"]: r["n"] for r in lines.deduplicate(df, removed="n").collect()} == {1: 0, 2: 0, 3: 0, 4: 3}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
