@@ -3,7 +3,8 @@
 Built-in DataFrame functions only. Documents of a source form one stream in a keyed order; the stream is cut
 into blocks of equal size in words. Slots of the schedule fall to sources by the fractional parts of multiples
 of the golden ratio, mapped through the cumulative targets. The r-th slot of a source takes its block r modulo
-its number of blocks; the last slot of a source takes only what its target still lacks.
+its number of blocks; the last slot of a source takes only what its target still lacks. What is taken of a document, and
+where in the mix it first appears, is read off the slots. Tables with a row a source are ordered in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, table
+from ._common import WORD, cut, size_of, table
 
 #: Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -23,7 +24,7 @@ ROWS_PER_GROUP, CELLS = 2_000, 4096
 
 
 def words_in(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))).cast("long"), F.lit(0).cast("long"))
+    return size_of(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -71,9 +72,9 @@ def _rank_in_groups(rows: DataFrame, keys: list[str], group: str, order: list, v
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 1024, seed: int = 1) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken.
+    """One row per row of ``docs``: id, source, size, source_size, target, taken, first_slot.
 
-    taken is the number of words that the mix takes from the document, repeats counted. The words taken from a
+    first_slot is the first slot of the schedule that takes words of the document, null if none does. taken is the number of words that the mix takes from the document, repeats counted. The words taken from a
     source sum to its target, rounded down, if ``most`` is 2 or a whole number; no document is taken more than
     ``most`` times its size. Null and empty texts have size 0 and nothing is taken. Null sources form one source.
     Repeated rows are separate documents; rows without any words leave all targets 0. The order of a
@@ -100,8 +101,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     low, high = F.greatest("start", origin), F.least(F.col("start") + F.col("size"), origin + block_words)
     cut_off = F.when(F.col("part") > 0, F.greatest(F.least(high, origin + F.col("part")) - low, F.lit(0))).otherwise(F.lit(0))
     words = F.coalesce((high - low) * F.col("full") + cut_off, F.lit(0))
-    sums = pieces.join(taken, on, "left").groupBy("id", "source", "size", "source_size", "target", "start").agg(F.sum(words).cast("long").alias("taken")).drop("start")
-    empty = stream.where("size = 0").select("id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    slot = F.least(F.when(F.col("full") > 0, F.col("first_full")), F.when(cut_off > 0, F.col("first_part")))
+    sums = pieces.join(taken, on, "left").groupBy("id", "source", "size", "source_size", "target", "start")
+    sums = sums.agg(F.sum(words).cast("long").alias("taken"), F.min(slot).alias("first_slot")).drop("start")
+    nothing = (F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    empty = stream.where("size = 0").select("id", "source", "size", "source_size", "target", *nothing)
     return sums.unionByName(empty).withColumnRenamed("id", id_column)
 
 
@@ -115,9 +119,10 @@ def slots(spark: SparkSession, targets: DataFrame, block_words: int) -> DataFram
 
     Slot n falls to the source whose part of the cumulative quotas holds the n-th golden-ratio point. Its rank among
     the source's slots says which block it takes; take is the block's length, or what the quota still lacks.
-    Ranks that the points have not given to a source when they end, a few at most, follow at the end.
+    Ranks that the points have not given to a source when they end, a few at most, follow in turn.
     """
     total = targets.agg(F.sum("quota")).first()[0] or 0
+    points_end = -(-total // block_words)
     up_to = Window.orderBy(F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, 0)
     shares = targets.where("quota > 0").withColumn("high", F.sum("quota").over(up_to)).withColumn("low", F.col("high") - F.col("quota"))
     # A range join by cells of equal width: a source is in every cell that its part touches.
@@ -126,7 +131,7 @@ def slots(spark: SparkSession, targets: DataFrame, block_words: int) -> DataFram
     shares = shares.select("source", "low", "high", cells.alias("cell"))
     point = F.col("id") * F.lit(GOLDEN)
     at = F.floor((point - F.floor(point)) * F.lit(total)).cast("long")
-    points = spark.range(-(-total // block_words)).select(F.col("id").alias("n"), at.alias("at"))
+    points = spark.range(points_end).select(F.col("id").alias("n"), at.alias("at"))
     points = points.withColumn("cell", F.floor(F.col("at") / width))
     drawn = points.join(shares, "cell").where("at >= low and at < high").select("n", "source", F.floor(F.col("n") / ROWS_PER_GROUP).alias("g"))
     drawn = _rank_in_groups(drawn, ["source"], "g", ["n"], F.lit(1), "rank").select("n", "source", "rank")
@@ -137,7 +142,9 @@ def slots(spark: SparkSession, targets: DataFrame, block_words: int) -> DataFram
     same = F.col("source").eqNullSafe(F.col("source_l"))
     counts = drawn.groupBy("source").agg(F.count("*").alias("drawn"))
     missing = limits.join(counts, same, "left").where(F.coalesce("drawn", F.lit(0)) < F.col("needed"))
-    missing = missing.select(F.lit(None).cast("long").alias("n"), F.col("source_l").alias("source"), F.explode(F.sequence(F.coalesce("drawn", F.lit(0)), F.col("needed") - 1)).alias("rank"))
+    last = F.coalesce("drawn", F.lit(0)).cast("long")
+    missing = missing.select(F.col("source_l").alias("source"), last.alias("drawn"), F.explode(F.sequence(last, F.col("needed") - 1)).alias("rank"))
+    missing = missing.select((F.lit(points_end).cast("long") + F.col("rank") - F.col("drawn")).alias("n"), "source", "rank")
     ranked = drawn.unionByName(missing).join(limits, same).where("rank < needed")
     block = F.col("rank") % F.col("blocks")
     offset = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + block * block_words
@@ -147,14 +154,14 @@ def slots(spark: SparkSession, targets: DataFrame, block_words: int) -> DataFram
 
 
 def block_takes(slots: DataFrame) -> DataFrame:
-    """Per source and block: how often it is taken whole, and how many words of its beginning once more."""
+    """Per source and block: how often it is taken whole, how many words of its beginning once more, and the first slots of either."""
     whole = F.col("take") == F.col("length")
-    sums = slots.groupBy("source", "block").agg(F.sum(whole.cast("int")).alias("full"), F.sum(F.when(whole, 0).otherwise(F.col("take"))).alias("part"))
+    sums = slots.groupBy("source", "block").agg(F.sum(whole.cast("int")).alias("full"), F.sum(F.when(whole, 0).otherwise(F.col("take"))).alias("part"), F.min(F.when(whole, F.col("n"))).alias("first_full"), F.min(F.when(~whole, F.col("n"))).alias("first_part"))
     return sums.withColumnRenamed("source", "source_b").withColumnRenamed("block", "block_b")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 ORACLE_SQL = r"""
@@ -180,7 +187,31 @@ WITH d AS (
     (sum(size) OVER (PARTITION BY d.source ORDER BY md5('1:' || doc_id::VARCHAR), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 )
-SELECT doc_id, size, source_size, target::DOUBLE AS target, source,
-  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(least(start + size, quota % source_size) - start, 0) END::BIGINT AS taken
-FROM p
+, shares AS (
+  SELECT source, (sum(quota) OVER o - quota)::BIGINT AS low, (sum(quota) OVER o)::BIGINT AS high FROM q WHERE quota > 0
+  WINDOW o AS (ORDER BY source IS NULL, source ROWS UNBOUNDED PRECEDING)
+), n AS (
+  SELECT coalesce(sum(quota), 0)::BIGINT AS total, ((coalesce(sum(quota), 0) + 1023) // 1024)::BIGINT AS points FROM q
+), points AS (
+  SELECT range::BIGINT AS n, floor((range * 0.6180339887498949::DOUBLE - floor(range * 0.6180339887498949::DOUBLE)) * total)::BIGINT AS x FROM n, range(points)
+), drawn AS (
+  SELECT n, source, (row_number() OVER (PARTITION BY source ORDER BY n) - 1)::BIGINT AS rank FROM points JOIN shares ON x >= low AND x < high
+), limits AS (
+  SELECT source, source_size, quota, (source_size + 1023) // 1024 AS blocks,
+    quota // source_size * ((source_size + 1023) // 1024) + (quota % source_size + 1023) // 1024 AS needed,
+    (SELECT count(*) FROM drawn d WHERE d.source IS NOT DISTINCT FROM q.source) AS drawn FROM q WHERE quota > 0
+), ranked AS (
+  SELECT * FROM drawn UNION ALL
+  SELECT points + rank - drawn, source, rank FROM n, (SELECT source, drawn, unnest(range(drawn, needed)) AS rank FROM limits WHERE drawn < needed)
+), slots AS (
+  SELECT n, r.source, rank % blocks * 1024 AS origin,
+    least(1024, source_size - rank % blocks * 1024, quota - rank // blocks * source_size - rank % blocks * 1024) AS take
+  FROM ranked r JOIN limits l ON r.source IS NOT DISTINCT FROM l.source WHERE rank < needed
+), takes AS (
+  SELECT p.doc_id, p.start, p.size, p.source, sum(least(p.start + p.size, origin + take) - greatest(p.start, origin)) AS taken, min(n) AS first_slot
+  FROM p JOIN slots s ON s.source IS NOT DISTINCT FROM p.source AND p.start < origin + take AND p.start + p.size > origin AND take > 0
+  WHERE p.size > 0 GROUP BY ALL
+)
+SELECT p.doc_id, p.size, source_size, target::DOUBLE AS target, p.source, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM p LEFT JOIN takes k ON k.doc_id IS NOT DISTINCT FROM p.doc_id AND k.start = p.start AND k.size = p.size AND k.source IS NOT DISTINCT FROM p.source
 """

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 from latticeforge.llm import mixing
@@ -58,3 +60,57 @@ def test_repeats_and_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     empty = mixing.mix(spark.createDataFrame([(1, None, "s", "", 0), (2, "", None, "", 0)], SCHEMA)).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def brute_schedule(rows, block=64):
+    """taken and first slot of every document, slot by slot, from documents (id, size, source)."""
+    sizes, streams = {}, {}
+    for i, n, s in sorted(rows, key=lambda r: hashlib.md5(f"1:{r[0]}".encode()).hexdigest()):
+        streams.setdefault(s, []).extend([i] * n)
+        sizes[s] = sizes.get(s, 0) + n
+    quota = {s: int(t + 1e-9) for s, t in brute_targets(sizes).items() if t >= 1}
+    names = sorted(quota, key=lambda s: (s is None, s or ""))
+    total, left, at = sum(quota.values()), dict(quota), dict.fromkeys(quota, 0)
+    points = -(-total // block)
+    taken, first = {}, {}
+
+    def take(n, s):
+        end = min(at[s] + block, len(streams[s]), at[s] + left[s])
+        for i in streams[s][at[s] : end]:
+            taken[i] = taken.get(i, 0) + 1
+            first[i] = min(n, first.get(i, n))
+        left[s] -= end - at[s]
+        at[s] = end % len(streams[s])
+
+    for n in range(points):
+        x, low = int((n * mixing.GOLDEN - math.floor(n * mixing.GOLDEN)) * total), 0
+        for s in names:
+            if low <= x < low + quota[s]:
+                take(n, s)
+            low += quota[s]
+    for s in names:
+        n = points
+        while left[s]:
+            take(n, s)
+            n += 1
+    return {i: (taken.get(i, 0), first.get(i)) for i, *_ in rows}
+
+
+def test_slots_decide(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 150), rng.choice(["a", "b", "c", "c", "c", None])) for i in range(300)]
+    df = spark.createDataFrame([(i, "w " * n, s, "s", 1) for i, n, s in rows], SCHEMA)
+    got = lambda: {r["doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(df, block_words=64).collect()}
+    mine = got()
+    assert mine == brute_schedule(rows)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)
+    assert got() != mine
+
+
+def test_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, None, "s", "", 0), (2, "a b", "s", "", 0), (3, None, None, "", 0)], SCHEMA)
+        assert sorted((r["doc_id"], r["size"]) for r in mixing.mix(df).collect()) == [(1, 0), (2, 2), (3, 0)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
