@@ -13,7 +13,6 @@ the executors and meets every text there. Nothing is shuffled.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -28,89 +27,131 @@ from ._common import cut, fresh, table, text_or_empty
 WORD = re.compile(r"\w+")
 #: Least tile in words; least share of an item's words covered; words of items that go to executors at once, about.
 LEAST, COVERED, BLOCK_WORDS = 5, 0.6, 2_000_000
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def _free_runs(marked: list[bool], least: int) -> Iterator[tuple[int, int]]:
-    start = None
-    for i, m in enumerate([*marked, True]):
-        if m:
-            if start is not None and i - start >= least:
-                yield start, i
-            start = None
-        elif start is None:
-            start = i
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _rolling(ids: list[int], runs: Iterator[tuple[int, int]], length: int) -> Iterator[tuple[int, int]]:
-    """(hash, start) of every window of ``length`` inside the runs, by Karp-Rabin."""
-    top = pow(_BASE, length, 1 << 64)
-    for a, b in runs:
-        h = 0
-        for i in range(a, b):
-            h = (h * _BASE + ids[i] + 1) & _MASK
-            if i - a >= length:
-                h = (h - top * (ids[i - length] + 1)) & _MASK
-            if i - a >= length - 1:
-                yield h, i - length + 1
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2 to the 64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << n.bit_length()
+        for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[at] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class _Side:
+    """The words of one side, as Karp-Rabin sums, and which of them are marked."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.marked = words, np.zeros(len(words), bool)
+        mixed = words.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        self.sums = np.r_[np.uint64(0), np.cumsum(mixed * _powers(len(words) + 1)[1][:-1], dtype=np.uint64)]
+        self.refresh()
+
+    def refresh(self) -> None:
+        self.before = np.r_[0, np.cumsum(self.marked)]
+
+    def longest(self) -> int:
+        """Length of the longest run of unmarked words."""
+        edges = np.flatnonzero(np.diff(np.r_[True, self.marked, True].astype(np.int8)))
+        return int((edges[1::2] - edges[::2]).max(initial=0))
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``length`` unmarked words."""
+        n = len(self.words) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        starts = np.flatnonzero(self.before[length:] == self.before[:n])
+        return starts, (self.sums[starts + length] - self.sums[starts]) * _powers(len(self.words) + 1)[0][starts + length - 1]
 
 
 def tiles(pattern: list[int], text: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in pattern, start in text, length), longest first; ties in order of starts."""
-    free_p, free_t, out = [False] * len(pattern), [False] * len(text), []
-    seek = max(least, min(len(pattern), len(text)) // 2)
-    while True:
-        # The longest matches of unmarked words, of at least ``seek``.
-        windows = defaultdict(list)
-        runs = list(_free_runs(free_p, seek))
-        for h, i in _rolling(pattern, iter(runs), seek):
-            windows[h].append(i)
-        longest = max((b - a for a, b in runs), default=0)
-        found, best = [], seek
-        for h, j in _rolling(text, _free_runs(free_t, seek), seek) if windows else ():
-            for i in windows.get(h, ()):
-                if pattern[i : i + seek] != text[j : j + seek]:
-                    continue
-                k = seek
-                while i + k < len(pattern) and j + k < len(text) and pattern[i + k] == text[j + k] and not free_p[i + k] and not free_t[j + k]:
-                    k += 1
-                if k > best:
-                    found, best = [], k
-                if k == best:
-                    found.append((i, j))
-            if found and best == longest == len(pattern):  # one tile holds the whole pattern
+    """Greedy string tiling: (start in pattern, start in text, length), longest first; ties in order of starts.
+
+    The length of the longest matches of unmarked words is found by halving, as shorter matches exist wherever longer
+    ones do; the windows of that length are then paired by hash, each taken once, so repeated words cost no more than others.
+    """
+    p, t, out = _Side(np.asarray(pattern, np.int64)), _Side(np.asarray(text, np.int64)), []
+    high = min(p.longest(), t.longest())
+    while high >= least:
+        low, top = 0, high  # matches of low words exist, or low is 0; none of more than top
+        while low < top:
+            length = max(least, (low + top + 1) // 2)
+            if np.isin(p.windows(length)[1], t.windows(length)[1]).any():
+                low = length
+            elif length == least:
+                break
+            else:
+                top = length - 1
+        if not low:
+            break
+        _mark(p, t, low, out)
+        high = min(low - 1, p.longest(), t.longest())
+    return out
+
+
+def _mark(p: _Side, t: _Side, length: int, out: list[tuple[int, int, int]]) -> None:
+    """Marks the matches of ``length`` words that do not overlap, in order of their starts."""
+    (p_at, p_hash), (t_at, t_hash) = p.windows(length), t.windows(length)
+    keep = np.isin(t_hash, p_hash)
+    groups: dict[int, list[int]] = {}
+    for h, j in zip(t_hash[keep].tolist(), t_at[keep].tolist(), strict=True):
+        groups.setdefault(h, []).append(j)
+    at = dict.fromkeys(groups, 0)
+    keep = np.isin(p_hash, t_hash)
+    for h, i in zip(p_hash[keep].tolist(), p_at[keep].tolist(), strict=True):
+        if p.marked[i] or p.marked[i + length - 1]:
+            continue
+        places = groups[h]
+        while at[h] < len(places):
+            j = places[at[h]]
+            at[h] += 1
+            if t.marked[j] or t.marked[j + length - 1]:
+                continue  # tiles of this round are as long as the window: one that overlaps it holds one of its ends
+            if not np.array_equal(p.words[i : i + length], t.words[j : j + length]):
+                at[h] -= 1  # equal hashes of different words
                 break
-        if not found and seek == least:
-            return out
-        if not found:
-            seek = max(least, seek // 2)
-        for i, j in sorted(found):
-            if not any(free_p[i : i + best]) and not any(free_t[j : j + best]):
-                free_p[i : i + best] = [True] * best
-                free_t[j : j + best] = [True] * best
-                out.append((i, j, best))
+            p.marked[i : i + length] = t.marked[j : j + length] = True
+            out.append((i, j, length))
+            break
+    p.refresh()
+    t.refresh()
 
 
 class Benchmark:
-    """Items of a block: their words as numbers, and where each run of ``least`` words occurs, by hash."""
+    """Items of a block: their words as numbers, and where each run of ``least`` words occurs, by hash. Items of equal words
+    are one."""
 
     def __init__(self, items: list[tuple[int, str]], least: int) -> None:
         self.least = least
         self.numbers: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids: list[list[int]] = []
+        self.words: list[np.ndarray] = []
+        known: dict[bytes, int] = {}
+        hashes = []
         for item_id, text in items:
             ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], np.uint64)
-            if len(ids) >= least:
-                h = self._hashes(ids)
-                parts.append((h, np.full(len(h), len(self.items), np.int32), np.arange(len(h), dtype=np.int32)))
-                self.items.append((item_id, ids.astype(np.int32)))
-        self.hash, self.item, self.place = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        order = np.argsort(self.hash, kind="stable")
+            if len(ids) < least:
+                continue
+            at = known.setdefault(ids.tobytes(), len(self.ids))
+            if at == len(self.ids):
+                self.ids.append([])
+                self.words.append(ids.astype(np.int32))
+                hashes.append(self._hashes(ids))
+            self.ids[at].append(item_id)
+        sizes = [len(h) for h in hashes]
+        self.hash = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.item = np.repeat(np.arange(len(hashes), dtype=np.int32), sizes)
+        self.place = np.concatenate([*(np.arange(n, dtype=np.int32) for n in sizes), np.zeros(0, np.int32)])
+        order = np.argsort(self.hash, kind="stable")  # within a hash by item, then place
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
 
     def _hashes(self, ids: np.ndarray) -> np.ndarray:
@@ -122,7 +163,11 @@ class Benchmark:
         return h
 
     def coverage(self, text: str, threshold: float = 0.0) -> list[tuple[int, float, int]]:
-        """(item, share of its words in tiles, words in tiles) of every item that tiles cover by ``threshold``."""
+        """(item, share of its words in tiles, words in tiles) of every item that tiles cover by ``threshold``.
+
+        Tiles consist of seeds. The seeds that an item shares with the text, each of its places once, bound what tiles can
+        cover; only items that this bound lets pass are tiled.
+        """
         get, least = self.numbers.get, self.least
         ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
         if len(ids) < least or not len(self.hash):
@@ -132,26 +177,33 @@ class Benchmark:
         if not len(at):
             return []
         h = self._hashes(ids)[at]
-        low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
-        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+        own = np.unique(h)
+        low, high = np.searchsorted(self.hash, own), np.searchsorted(self.hash, own, "right")
+        n = high - low
         seeds = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        places, items = np.repeat(at, n), self.item[seeds]
+        if not len(seeds):
+            return []
+        seeds = seeds[np.lexsort((self.place[seeds], self.item[seeds]))]
+        item, place = self.item[seeds], self.place[seeds]
+        first = np.r_[True, item[1:] != item[:-1]]
+        step = np.r_[np.diff(place), 0]
+        reach = np.where(np.r_[first[1:], True], least, np.minimum(step, least))  # words that a seed adds to those before it
+        starts = np.flatnonzero(first)
+        bound = np.add.reduceat(reach, starts)
         out = []
-        for item in np.unique(items).tolist():
-            item_id, pattern = self.items[item]
-            here = items == item
-            # Tiles consist of seeds: words outside those of this item take part in none.
-            seen = np.zeros(len(pattern), bool)
-            seen[(self.place[seeds[here]][:, None] + np.arange(least)).ravel()] = True
-            if seen.sum() < threshold * len(pattern):
+        for k, a, b in zip(bound.tolist(), starts.tolist(), [*starts[1:].tolist(), len(seeds)], strict=True):
+            pattern = self.words[item[a]]
+            if k < threshold * len(pattern):
                 continue
-            mark = np.zeros(len(ids), bool)
-            mark[(places[here][:, None] + np.arange(least)).ravel()] = True
-            part = np.where(mark, ids, 0).astype(np.int32)[mark | np.r_[mark[1:], False]].tolist()
-            covered = sum(k for _, _, k in tiles(pattern.tolist(), part, least))
+            here = at[np.isin(h, self.hash[seeds[a:b]])]
+            mark = np.zeros(len(ids) + 1, bool)
+            for c in range(least):
+                mark[here + c] = True
+            part = np.where(mark[:-1], ids, 0).astype(np.int32)[mark[:-1] | mark[1:]]
+            covered = sum(x for _, _, x in tiles(pattern, part, least))
             if covered >= threshold * len(pattern):
-                out.append((item_id, covered / len(pattern), covered))
-        return sorted(out)
+                out += [(item_id, covered / len(pattern), covered) for item_id in self.ids[item[a]]]
+        return sorted(out, key=lambda x: (x[0] is None, x))
 
 
 FOUND = "array<struct<item_id: long, coverage: double, words: long>>"

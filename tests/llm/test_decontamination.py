@@ -1,4 +1,5 @@
 import random
+import time
 
 from latticeforge.llm import decontamination as d
 
@@ -78,3 +79,33 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert d.drop_leaks(df, bench.limit(0)).count() == len(docs)
     assert d.drop_leaks(df.limit(0), bench).count() == 0
+
+
+def test_many_items_that_share_their_beginning_and_repeated_words():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    opening = some(8)
+    bench = d.Benchmark([(i, f"{opening} {some(30)}") for i in range(2000)], 5)
+    start = time.perf_counter()
+    assert bench.coverage(f"{some(500)} {opening} {some(500)}", 0.6) == []
+    assert time.perf_counter() - start < 0.5
+    same = d.Benchmark([(7, "the " * 200), (8, "the " * 200)], 5)
+    start = time.perf_counter()
+    assert same.coverage("the " * 8000, 0.6) == [(7, 1.0, 200), (8, 1.0, 200)]
+    assert time.perf_counter() - start < 0.5
+
+
+def test_coverage_against_brute_force():
+    rng = random.Random(6)
+    words = "a b c d e f g h i j k l".split()
+    for _ in range(60):
+        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(6)]
+        text = " ".join([rng.choice(words) for _ in range(20)] + rng.choice(items)[1].split() + rng.choice(items)[1].split()[:6])
+        got = d.Benchmark(items, 3).coverage(text, 0.6)
+        want = []
+        for i, item in items:
+            n = sum(k for _, _, k in brute_tiles(item.split(), text.split(), 3))
+            if len(item.split()) >= 3 and n >= 0.6 * len(item.split()):
+                want.append((i, n / len(item.split()), n))
+        assert got == want
