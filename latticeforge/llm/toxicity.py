@@ -4,8 +4,8 @@ Tokens get log-odds of coming from a toxic text. Their prior is Dirichlet and ne
 towards that of its 5-letter beginning, this towards the 4-letter one, and so on, so that unseen forms of a known stem
 count too. A scan linear in the number of tokens finds all maximal-scoring segments of a text. By extreme-value
 theory the number of segments of clean text that reach score S by chance is K * m * exp(-lambda * S) in m tokens; the
-chance that r segments are as good as the r-th best, least over r, is the text's evidence, and a logistic curve fitted on texts
-kept apart from the log-odds turns it into a probability.
+chance that r segments are as good as the r-th best, least over r, is the text's evidence, and a logistic curve over its
+logarithm, fitted on texts kept apart from the log-odds, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_or_empty
+from ._common import cut, table, text_or_empty
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5)
-#: Labelled rows of each class that the model is fitted on, at most, and entries of its vocabulary, at most.
-SAMPLE, VOCABULARY = 6000, 200_000
+#: Labelled rows of each class that the model is fitted on, at most.
+SAMPLE = 6000
 #: Weight of the prior in tokens; what every token costs; share of the sample that the curve is fitted on; least
 #: likelihood-ratio statistic at which a unit's share counts as different from its stem's.
 PRIOR, COST, APART, EVIDENT = 2.0, 0.5, 0.25, 16.0
+#: A passage is significant if no more of its score are expected by chance in clean text of that length.
+SIGNIFICANT = 0.05
 _CACHE = 500_000
 
 
@@ -114,24 +116,22 @@ class Model:
             # The chance is at least that of exactly r, which is cheap and spares most of the sums.
             if mean < r and mean - r * math.log(max(mean, 1e-300)) + math.lgamma(r + 1) > found:
                 found = max(found, _rarity(r, mean))
-                if found >= 60.0:
-                    break
-        return min(found, 60.0)
+        return found
 
-    def probability(self, text: str | None) -> float:
+    def judge(self, text: str | None, most_expected: float = SIGNIFICANT) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """Probability of a text, and (first token, end, score, number expected by chance) of its significant segments."""
         scores = self.token_scores(text or "")
+        found = segments(scores)
         a, b = self.curve
-        return 1 / (1 + math.exp(-(a + b * self.evidence(best_segments(scores), len(scores)))))
+        evidence = self.evidence(sorted((s for _, _, s in found), reverse=True), len(scores))
+        chance = ((first, end, s, self.density * len(scores) * math.exp(-self.scale * s)) for first, end, s in found)
+        return 1 / (1 + math.exp(-(a + b * math.log1p(evidence)))), [p for p in chance if p[3] <= most_expected]
 
-    def passages(self, text: str | None, most_expected: float = 0.05) -> list[tuple[int, int, float, float]]:
-        """(first token, end, score, number expected by chance) of every segment that is significant."""
-        scores = self.token_scores(text or "")
-        out = []
-        for first, end, s in segments(scores):
-            expected = self.density * len(scores) * math.exp(-self.scale * s)
-            if expected <= most_expected:
-                out.append((first, end, s, expected))
-        return out
+    def probability(self, text: str | None) -> float:
+        return self.judge(text)[0]
+
+    def passages(self, text: str | None, most_expected: float = SIGNIFICANT) -> list[tuple[int, int, float, float]]:
+        return self.judge(text, most_expected)[1]
 
 
 def held_out(id_column: Column) -> Column:
@@ -196,9 +196,9 @@ def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
-def chance_scale(values: np.ndarray) -> float:
-    """lambda > 0 that solves mean(exp(lambda * score)) = 1 over the token scores of clean texts; 1 if none does."""
-    values, times = np.unique(np.round(values, 3), return_counts=True)
+def chance_scale(values: np.ndarray, times: np.ndarray) -> float:
+    """lambda > 0 that solves mean(exp(lambda * score)) = 1 over the token scores of clean texts, each so many ``times``; 1 if
+    none does."""
     share = times / times.sum()
     excess = lambda x: float((share * np.exp(x * values)).sum()) - 1
     if (share * values).sum() >= 0 or values.max() <= 0:
@@ -228,11 +228,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return float(beta[0] - slope * middle), float(slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out.
 
-    It is fitted on a sample of ``sample`` documents a class at most, those with the least hash of their id, and holds
-    ``vocabulary`` units at most, the most frequent. Labels that are null, repeated or without document are allowed; of
+    It is fitted on a sample of ``sample`` documents a class at most, those with the least hash of their id, and on all
+    of their words. Labels that are null, repeated or without document are allowed; of
     several labels of a document the largest counts. Without labels of both classes every score is the share of toxic
     ones, smoothed.
     """
@@ -247,42 +247,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     chosen = docs.sparkSession.createDataFrame(pd.concat(chosen).astype({"id": "int64", "toxic": "int32"}), "id long, toxic int")
     chosen = chosen.withColumn("apart", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1000)) < int(1000 * APART))
     texts = docs.select(docs[id_column].cast("long").alias("id"), text_or_empty(docs, text_column).alias("text"))
-    texts = texts.join(F.broadcast(chosen), "id").select("text", "toxic", "apart")  # as many rows as the sample has
+    # As many rows as the sample has; they are read several times.
+    texts = cut(texts.join(F.broadcast(chosen), "id").select("text", "toxic", "apart"))
     # A word counts once for each word that comes before it, so copies and near copies of a text add nothing.
     contexts = texts.where("not apart").select("text", "toxic").mapInArrow(_contexts, "before long, word string, toxic int").distinct()
     words = contexts.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
     counts = words.mapInArrow(_by_unit, "unit string, clean long, toxic long")
     counts = counts.groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 2")
-    counts = counts.orderBy(F.desc(F.col("clean") + F.col("toxic")), "unit").limit(vocabulary).toPandas()
+    counts = counts.toPandas()
     table = dict(zip(counts["unit"], zip(counts["clean"], counts["toxic"], strict=True), strict=True))
     odds = log_odds(table) if min(table.get("", (0, 0))) else {}
 
-    raw = Model(odds)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [raw.token_scores(t) for t in batch.column("text").to_pylist()]
-            tops = [best_segments(x) for x in found]
-            rare = [np.round(x[x != -COST], 3).tolist() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([len(x) for x in found], pa.int64()), pa.array(tops, pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.float64()))], names=["toxic", "n", "tops", "rare"])
-
-    apart = texts.where("apart").select("text", "toxic").mapInArrow(scored, "toxic int, n long, tops array<double>, rare array<double>").toPandas()
-    return _calibrated(odds, apart, totals)
+    return _calibrated(odds, texts.where("apart").select("text", "toxic"), totals)
 
 
-def _calibrated(odds: dict[str, float], apart: pd.DataFrame, totals: dict[int, int]) -> Model:
+def _calibrated(odds: dict[str, float], apart: DataFrame, totals: dict[int, int]) -> Model:
+    """The model with the constants of chance segments, from clean texts of ``apart`` (text, toxic), and the curve, from all."""
     raw = Model(odds)
-    if apart["toxic"].nunique() < 2:
+    both = {r["toxic"]: r["count"] for r in apart.groupBy("toxic").count().collect()}
+    if len(both) < 2:
         rate = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return Model(odds, curve=(math.log(rate / (1 - rate)) - 2, 1.0))
-    clean = apart[apart["toxic"] == 0]
-    values = np.concatenate([*clean["rare"], np.full(int(clean["n"].sum()) - sum(map(len, clean["rare"])) + 1, -COST)])
-    raw.scale = chance_scale(values)
-    best = np.array([max([0.0, *t]) for t in clean["tops"]])
-    size = np.maximum(1, clean["n"].to_numpy(float))
-    raw.density = float(np.clip(len(clean) / max(1e-9, (size * np.exp(-raw.scale * best)).sum()), 1e-6, 10))
-    x = np.array([raw.evidence(tops, n) for tops, n in zip(apart["tops"], apart["n"], strict=True)])
-    y = apart["toxic"].to_numpy(float)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each token score occurs."""
+        for batch in batches:
+            times: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                times.update(np.round(raw.token_scores(text), 3).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.float64()), pa.array(list(times.values()), pa.int64())], names=["value", "times"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [raw.token_scores(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([float(max(1, len(x))) for x in scores]), pa.array([max([0.0, *best_segments(x)]) for x in scores])], names=["n", "best"])
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [raw.token_scores(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([raw.evidence(best_segments(x), len(x)) for x in scores], pa.float64())], names=["toxic", "evidence"])
+
+    clean = apart.where("toxic = 0").select("text")
+    times = clean.mapInArrow(values, "value double, times long").groupBy("value").agg(F.sum("times").alias("times")).toPandas()
+    times = pd.concat([times, pd.DataFrame({"value": [-COST], "times": [1]})]).groupby("value", as_index=False)["times"].sum()
+    raw.scale = chance_scale(times["value"].to_numpy(float), times["times"].to_numpy(float))
+    held = clean.mapInArrow(best, "n double, best double").toPandas()
+    raw.density = float(np.clip(len(held) / max(1e-9, (held["n"] * np.exp(-raw.scale * held["best"])).sum()), 1e-6, 10))
+    found = apart.mapInArrow(evidence, "toxic int, evidence double").toPandas()
+    x, y = np.log1p(found["evidence"].to_numpy(float)), found["toxic"].to_numpy(float)
     weight = np.where(y == 1, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
     raw.curve = logistic(x, y, weight / weight.mean())
     return raw
@@ -297,15 +309,32 @@ def score_column(model: Model, text: Column) -> Column:
     return scored(text)
 
 
+PASSAGES = "array<struct<first:long,end:long,score:double,expected:double>>"
+
+
+def judgement(model: Model, text: Column, most_expected: float = SIGNIFICANT) -> Column:
+    """A struct of the score of a text and its significant passages."""
+
+    @F.pandas_udf(f"score double, passages {PASSAGES}")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [model.judge(t, most_expected) for t in batch]
+            passages = [[dict(zip(("first", "end", "score", "expected"), p, strict=True)) for p in f[1]] for f in found]
+            yield pd.DataFrame({"score": pd.Series([f[0] for f in found], dtype="float64"), "passages": pd.Series(passages, dtype="object")})
+
+    return judged(text)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score from 0 to 1, predicted (1 if score >= 0.5).
+    """One row per row of ``docs``: id, held_out, score from 0 to 1, predicted (1 if score >= 0.5), passages.
 
-    Whole texts are scored; null and empty ones like texts without any evidence. Repeated rows each give a row; ids
-    may be null; columns other than the id and the text are not read.
+    passages holds every significant segment: its tokens from ``first`` to before ``end``, its score, and how many as good are
+    expected by chance. Whole texts are scored; null and empty ones like texts without any evidence. Repeated rows each
+    give a row; ids may be null; columns other than the id and the text are not read.
     """
     model = fit(docs, labels, id_column, text_column)
-    rows = docs.select(docs[id_column].alias(id_column), held_out(docs[id_column]).alias("held_out"), score_column(model, text_or_empty(docs, text_column)).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(docs[id_column].alias(id_column), held_out(docs[id_column]).alias("held_out"), judgement(model, text_or_empty(docs, text_column)).alias("j"))
+    return rows.select(id_column, "held_out", "j.score", (F.col("j.score") >= 0.5).cast("int").alias("predicted"), "j.passages")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -314,16 +343,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     return docs.where(score_column(model, text_or_empty(docs, text_column)) < 0.5)
 
 
-def passages(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", most_expected: float = 0.05) -> DataFrame:
+def passages(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", most_expected: float = SIGNIFICANT) -> DataFrame:
     """A row (id, first, end, score, expected) for every significant segment: token positions and its E-value."""
-    kind = "array<struct<first:long,end:long,score:double,expected:double>>"
-
-    @F.pandas_udf(kind)
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("first", "end", "score", "expected"), p, strict=True)) for p in model.passages(t, most_expected)] for t in texts])
-
-    rows = docs.select(docs[id_column].alias(id_column), F.explode(found(text_or_empty(docs, text_column))).alias("passage"))
-    return rows.select(id_column, "passage.*")
+    found = judgement(model, text_or_empty(docs, text_column), most_expected)
+    return docs.select(docs[id_column].alias(id_column), found.alias("j")).select(id_column, F.explode("j.passages").alias("p")).select(id_column, "p.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -93,3 +94,40 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in toxicity.score(df, none).collect()] in ([0], [1])
     assert toxicity.score(df.limit(0), none).collect() == []
+
+
+def test_scores_against_brute_force():
+    """The score by the definitions: all maximal segments by comparison, Poisson tails summed term by term."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model({"bad": 2.0, "awful": 3.5, "fine": -1.0}, scale=0.8, density=0.05, curve=(-2.0, 1.5))
+    words = np.array(["bad", "awful", "fine", "word", "other"])
+    for n in (0, 1, 5, 40, 300):
+        text = " ".join(words[rng.choice(5, n, p=[0.1, 0.05, 0.2, 0.35, 0.3])])
+        scores = [{"bad": 1.5, "awful": 3.0, "fine": -1.5}.get(w, -0.5) for w in text.split()]
+        found, rest = [], [(0, n)]
+        while rest:  # the best contiguous part, then left and right of it
+            a, b = rest.pop()
+            best = max(((sum(scores[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0, 0)) if b - a <= 60 else _kadane(scores, a, b)
+            if best[0] > 1e-9:
+                found.append(best[0])
+                rest += [(a, best[2]), (best[3], b)]
+        evidence = 0.0
+        for r, s in enumerate(sorted(found, reverse=True), 1):
+            mean = 0.05 * max(1, n) * math.exp(-0.8 * s)
+            tail = math.fsum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(r, r + 200))
+            evidence = max(evidence, -math.log(min(1.0, tail)))
+        want = 1 / (1 + math.exp(-(-2.0 + 1.5 * math.log1p(evidence))))
+        got, passages = model.judge(text)
+        assert abs(got - want) < 1e-6
+        assert all(p[3] <= toxicity.SIGNIFICANT and abs(sum(scores[p[0] : p[1]]) - p[2]) < 1e-9 for p in passages)
+
+
+def _kadane(scores, a, b):
+    best, total, start = (0.0, 0, 0, 0), 0.0, a
+    for k in range(a, b):
+        if total <= 0:
+            total, start = 0.0, k
+        total += scores[k]
+        if total > best[0] + 1e-12:
+            best = (total, 0, start, k + 1)
+    return best
