@@ -4,32 +4,39 @@ The tokens of a page are its elements, named by their path, and its blocks of te
 occurrence vector (how often in which page) form an equivalence class. A class that occurs in most pages is valid if
 its tokens come in the same order in all of them; the largest valid class is the host's root, and other valid
 classes are nested in it if all their tokens always lie between the same two of its tokens. Root and nested classes are
-the template. Blocks of text that belong to it are the same on the host's pages and go; the blocks left fill the
-slots, of which those of the article stay: slots in menus, forms and the like, told by the elements around them, go.
+the template. Its blocks of text are the same on the host's pages and go; its elements that come once in a page bound
+the slots, and a slot holds the blocks from one of them to the next. Slots are told apart by what they hold over all pages
+of the host: one whose content does not vary, or is mostly links, or lies in elements that are no article, is none of the
+article's; of the others those inside article elements are, if there are any. Blocks of the article's slots stay. Names of
+elements break ties inside them, and tell the blocks of hosts with too few pages for a template.
 
 Occurrence vectors are compared by an exclusive or of hashes of (page, count), which partial aggregation combines: no task holds a
-host. Templates of a counted, small size are broadcast; beyond that they join pages on host and a salt, so a host with a
-third of all pages is spread out.
+host. What is known of a host, which is no longer than a few of its pages, is broadcast if its counted size is small; beyond that it
+joins pages on host and a salt, so a host with a third of all pages is spread out.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import cut, table, tables
 
 #: Least pages of a host to deduce a template from, least share of them that a class occurs in, least tokens of a class.
-PAGES, SHARE, TOKENS, SALTS = 4, 0.6, 3, 64
-#: Template tokens of all hosts that may be broadcast, 8 bytes each; more join on host and salt.
+PAGES, SHARE, TOKENS, SALTS = 4, 0.6, 2, 64
+#: Template tokens of all hosts that may be broadcast, 16 bytes each; more join on host and salt.
 FEW = 200_000
+#: A slot does not vary if its pages hold no more than this share of different contents.
+SAME = 0.2
+#: What a template says of its tokens: text that goes, and elements that begin another slot or one of the article.
+TEXT, OTHER, ARTICLE = 0, 1, 2
 
 # Element names and words of the HTML standard and of common page designs.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +51,15 @@ NAMES = frozenset(
 )
 #: Names of parts of a page that wrappers of the whole page may bear too, as in "sidebar-left".
 LAYOUT = frozenset("nav navbar navigation menu submenu masthead footer sidebar aside widget widgets banner overlay toolbar topbar bottombar offcanvas".split())
+#: Words that do not change what others of a name say, as "box" in "ad-box"; pieces of one or two letters are such, too.
+NEUTRAL = frozenset(
+    "box boxes list lists item items wrap wrapper container area section block blocks posts post articles links link bar inner outer left right top bottom main content text header title heading module panel group row col column columns "
+    "button buttons icon icons page site global primary secondary small large mobile desktop slot unit message messages view holder body".split()
+)
+#: Advertising, which no paragraph or inline element of an article is either.
+ADS = frozenset("ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos".split())
 CONTENT = frozenset("article content post entry story".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("ul ol dl table html body article section div main td th".split())
 
@@ -52,6 +67,8 @@ TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end
 OPEN = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Numbers of posts and the like.
+DIGITS = re.compile(r"\d{3,}")
 
 
 class _Element:
@@ -63,68 +80,159 @@ class _Element:
         self.name, self.path, self.away, self.layout, self.holds = name, path, away, layout, holds
 
 
+class Block:
+    """A block of text: its length and that of its links, and what is around it."""
+
+    __slots__ = ("article", "away", "layout", "links", "main", "text")
+
+    def __init__(self, text: str, links: int, away: bool, layout: bool, article: bool, main: bool) -> None:
+        self.text, self.links, self.away, self.layout, self.article, self.main = text, links, away, layout, article, main
+
+    def flags(self) -> int:
+        return 1 | self.away << 1 | self.layout << 2 | self.article << 3 | self.main << 4
+
+
 def _judge(name: str, rest: str, inside: bool) -> tuple[str, bool, bool, bool]:
-    """Class and id of an element; whether it is away, layout, and a container of an article."""
-    away, layout, label, words = name in DROPPED or (name == "header" and not inside), False, "", set()
+    """Class and id of an element; whether it is away, layout, and a container of an article.
+
+    A class or id speaks for an element only if all of its words do: "related-posts" does, "related-work" does not.
+    """
+    away, layout, label, words, named = name in DROPPED or (name == "header" and not inside), False, "", set(), []
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            label += " " + value
-            words |= {p.lower() for p in PIECE.findall(value)}
+            label += " " + DIGITS.sub("0", value)
+            for one in value.split():
+                named.append({p.lower() for p in PIECE.findall(one) if len(p) > 2 or p.lower() in ADS})
+                words |= named[-1]
         elif key == "role":
             away |= value.strip().lower() in ROLES
         elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             away = True
-    if name not in ("html", "body", "main") and not words & {"has", "with", "no", "without"}:
-        away |= bool(words & NAMES)
-        layout = name != "article" and (bool(words & LAYOUT) or ("header" in words and name == "div" and not inside))
+    if name in PARAGRAPHS or name not in BLOCK:
+        away |= any(w & ADS and w <= ADS | NEUTRAL for w in named)
+    elif name not in ("html", "body", "main"):
+        away |= any(w & NAMES and w <= NAMES | LAYOUT | NEUTRAL for w in named)
+        layout = name != "article" and (any(w & LAYOUT and w <= LAYOUT | NAMES | NEUTRAL for w in named) or ("header" in words and name == "div" and not inside))
     holds = not away and (name in ("article", "main") or (name in ("div", "section") and not layout and bool(words & CONTENT)))
     return label, away, layout, holds
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, str, list[_Element]]], list[tuple[str, int]]]:
-    """Blocks (text, path, elements around them) in page order, and all tokens (name, position)."""
-    html = html or ""
-    blocks: list[tuple[str, str, list[_Element]]] = []
-    tokens: list[tuple[str, int]] = []
-    stack: list[_Element] = []
-    parts: list[str] = []
-    inside = 0
-
-    def flush() -> None:
-        text = " ".join(unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            path = stack[-1].path if stack else ""
-            blocks.append((text, path, [e for e in stack if e.away or e.layout or e.holds]))
-            tokens.append((f"T{path}\n{text}", len(tokens)))
-
-    def pop(at: int) -> None:
-        nonlocal inside
-        for e in stack[at:]:
-            inside -= e.holds
-        del stack[at:]
-
-    def close(names: set[str], walls: frozenset[str]) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at].name in names:
-                flush()
-                pop(at)
-                return
-            if stack[at].name in walls:
-                return
+class _Page:
+    """The elements that are open, and the tokens found so far; every step takes a time that does not depend on the depth."""
+
+    def __init__(self) -> None:
+        self.tokens: list[tuple[str, Block | None]] = []
+        self.stack: list[_Element] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.layouts: list[_Element] = []
+        self.away = self.inside = self.articles = self.mains = self.in_links = 0
+        self.parts: list[str] = []
+        self.skipped: list[str] = []
+        self.links = 0
+
+    def add(self, text: str) -> None:
+        if self.away:
+            self.skipped.append(text)
+        else:
+            self.parts.append(text)
+        if self.in_links:
+            self.links += len(text)
+
+    def path(self) -> str:
+        return self.stack[-1].path if self.stack else ""
+
+    def flush(self) -> None:
+        layout = any(e.layout for e in self.layouts[-1:])
+        for parts, away in ((self.parts, False), (self.skipped, True)):
+            text = " ".join(unescape("".join(parts)).split())
+            parts.clear()
+            if text:
+                self.tokens.append((f"T{self.path()}\n{text}", Block(text, min(self.links, len(text)), away, layout, self.articles > 0, self.mains > 0)))
+        self.links = 0
+
+    def push(self, e: _Element) -> None:
+        if e.holds:  # what holds the article is no menu, whatever its names
+            for other in self.layouts:
+                other.layout = False
+            self.layouts.clear()
+        self.where.setdefault(e.name, []).append(len(self.stack))
+        if e.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        if e.layout:
+            self.layouts.append(e)
+        self.stack.append(e)
+        self._count(e, 1)
+
+    def _count(self, e: _Element, n: int) -> None:
+        self.away += n * e.away
+        self.inside += n * e.holds
+        self.articles += n * (e.holds and e.name == "article")
+        self.mains += n * (e.holds and e.name == "main")
+        self.in_links += n * (e.name == "a")
+
+    def pop(self, at: int) -> None:
+        while len(self.stack) > at:
+            e = self.stack.pop()
+            self.where[e.name].pop()
+            if e.name in BLOCK:
+                self.blocks.pop()
+                self.tokens.append((f"/{e.path}", None))
+            if self.layouts and self.layouts[-1] is e:
+                self.layouts.pop()
+            self._count(e, -1)
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
+    def close(self, names: set[str], walls: frozenset[str]) -> None:
+        at = self.last(names)
+        if at >= 0 and at > self.last(walls - names):
+            self.flush()
+            self.pop(at)
+
+    def end(self, name: str) -> None:
+        if name in BLOCK:
+            self.flush()
+        elif name in VOID:
+            self.add(" ")
+        at = self.last({name})
+        if at >= 0 and (name in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self.pop(at)
+
+    def start(self, name: str, rest: str) -> None:
+        if name in BLOCK:
+            self.flush()
+            self.close({"p"}, WALLS)
+            if name in CLOSES:
+                self.close(CLOSES[name], frozenset({"ul", "ol", "dl", "table", "select"}) if name not in ("td", "th") else frozenset({"table", "tr"}))
+        elif name in VOID:
+            self.add(" ")
+        label, away, layout, holds = _judge(name, rest, self.inside > 0)
+        path = f"{self.path()}>{name}{label}"
+        if len(path) > 400:
+            path = xxhash.xxh3_64_hexdigest(path)
+        if name in BLOCK:
+            self.tokens.append((f"E{path}", None))
+        if name not in VOID:
+            self.push(_Element(name, path, away, layout, holds))
+
 
+def parse(html: str | None) -> list[tuple[str, Block | None]]:
+    """Tokens in page order: a name, and the block of text if it is one."""
+    html, page = html or "", _Page()
     at, size = 0, len(html)
     while at < size:
         low = html.find("<", at)
         if low < 0:
-            parts.append(html[at:])
+            page.add(html[at:])
             break
         if low > at:
-            parts.append(html[at:low])
+            page.add(html[at:low])
         m = TAG.match(html, low) or OPEN.match(html, low)
         if m is None:
-            parts.append("<")
+            page.add("<")
             at = low + 1
             continue
         at = m.end()
@@ -136,112 +244,173 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, list[_Element]]], list
         if not name:
             continue
         if ends:
-            if name in BLOCK:
-                flush()
-            elif name in VOID:
-                parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    pop(k)
-                    tokens.append((f"/{name}", len(tokens)))
-                    break
-                if name not in BLOCK and stack[k].name in BLOCK:
-                    break
-            continue
-        if name in RAW:
+            page.end(name)
+        elif name in RAW:
             if not rest.endswith("/") or name in ("script", "style", "textarea", "title"):
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
                 stop = html.find(">", end.start()) if end else -1
                 at = stop + 1 if end and stop >= 0 else size
-            parts.append(" ")
-            continue
-        if name in BLOCK:
-            flush()
-            close({"p"}, WALLS)
-            if name in CLOSES:
-                close(CLOSES[name], frozenset({"ul", "ol", "dl", "table", "select"}) if name not in ("td", "th") else frozenset({"table", "tr"}))
-        elif name in VOID:
-            parts.append(" ")
-        label, away, layout, holds = _judge(name, rest, inside > 0)
-        path = f"{stack[-1].path if stack else ''}>{name}{label}"
-        if len(path) > 400:
-            path = xxhash.xxh3_64_hexdigest(path)
-        if name in BLOCK or away or layout:
-            tokens.append((f"E{path}", len(tokens)))
-        if name in VOID:
-            continue
-        if holds:
-            inside += 1
-            for e in stack:  # what holds the article is no menu, whatever its names
-                e.layout = False
-        stack.append(_Element(name, path, away, layout, holds))
-    flush()
-    return blocks, tokens
+            page.add(" ")
+        else:
+            page.start(name, rest)
+    page.flush()
+    return page.tokens
 
 
 def token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(html: str | None, template: set[int]) -> str:
-    """Blocks of the article's slots, one a line; ``template`` holds hashes of the text tokens of the page's template."""
-    blocks, _ = parse(html)
-    left = [b for b in blocks if not any(e.away or e.layout for e in b[2]) and token_hash(f"T{b[1]}\n{b[0]}") not in template]
+def main_text(html: str | None, template: dict[int, int] | None = None) -> str:
+    """The article's blocks, one a line; ``template`` says of hashes of tokens what they are: TEXT, OTHER or ARTICLE."""
+    template = template or {}
+    left: list[Block] = []
+    chosen: list[Block] = []
+    slot = None
+    for token, block in parse(html):
+        known = template.get(token_hash(token)) if template else None
+        if block is None:
+            slot = slot if known is None else known
+        elif known != TEXT and not block.away:
+            if slot == ARTICLE:
+                chosen.append(block)
+            if not block.layout:
+                left.append(block)
+    kept = chosen or left
     for container in ("article", "main"):
-        own = [b for b in left if any(e.name == container and e.holds for e in b[2])]
+        own = [b for b in kept if getattr(b, container)]
         if own:
-            left = own
+            kept = own
             break
-    return "\n".join(b[0] for b in left)
+    return "\n".join(b.text for b in kept)
+
+
+_TOKENS = "h long, page long, t array<long>, f array<int>, c array<int>, l array<int>, u array<long>, k array<int>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: (h, page, token, times, first, is_text); h is the host's key."""
+    """Per page: the host's key, the page's, hashes of its tokens, flags, lengths and lengths of links; different tokens and their counts."""
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()))
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("h", "page", "token", "times", "first", "is_text")}
+        rows = []
         for host, html in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            _, tokens = parse(html)
-            page = token_hash(html or "")
-            times, first = Counter(t for t, _ in tokens), {}
-            for t, i in tokens:
-                first.setdefault(t, i)
-            for t, i in first.items():
-                for name, value in zip(out, (host, page, token_hash(t), times[t], i, t[0] == "T"), strict=True):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=list(out))
+            found = parse(html)
+            hashes = [token_hash(t) for t, _ in found]
+            times = Counter(hashes)
+            per_token = ([b.flags() if b else 0 for _, b in found], [len(b.text) if b else 0 for _, b in found], [b.links if b else 0 for _, b in found])
+            rows.append((host, token_hash(html or ""), hashes, *per_token, list(times), list(times.values())))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_names(_TOKENS))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _scan(out: str, each: Callable[[dict], Iterator[tuple]]):
+    """A scan of pages that turns a row into the rows of integers that ``each`` gives."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for row in batch.to_pylist() for x in each(row)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_names(out))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_names(out))
+
+    return scan
+
+
+def _orders(row: dict) -> Iterator[tuple]:
+    """(h, class, order): the order in which the tokens of a class first come in a page."""
+    of, orders = dict(zip(row["tokens"], row["classes"], strict=True)), {}
+    for t in dict.fromkeys(row["t"]):
+        if t in of:
+            orders.setdefault(of[t], []).append(t)
+    for c, order in orders.items():
+        yield row["h"], c, token_hash(repr(order))
+
+
+def _gaps(row: dict) -> Iterator[tuple]:
+    """(h, class, low, high): the gaps of the root class in which tokens of a class first come in a page."""
+    of, gap, low, high = dict(zip(row["tokens"], row["classes"], strict=True)), 0, {}, {}
+    for t in dict.fromkeys(row["t"]):
+        c = of.get(t)
+        if c is not None:
+            low.setdefault(c, gap)
+            high[c] = gap
+            gap += c == row["root"]
+    for c in low:
+        yield row["h"], c, low[c], high[c]
+
+
+def _contents(row: dict) -> Iterator[tuple]:
+    """(h, slot, content, chars, links, away, layout, article, main) of the slots of a page that hold text."""
+    bounds, slot, found = set(row["tokens"]), None, {}
+    for t, flags, chars, links in zip(row["t"], row["f"], row["c"], row["l"], strict=True):
+        if not flags:
+            slot = t if t in bounds else slot
+        elif slot is not None and t not in bounds:
+            hashes, sums = found.setdefault(slot, ([], [0] * 6))
+            hashes.append(t)
+            for i, part in enumerate((chars, links, *(chars if flags >> bit & 1 else 0 for bit in (1, 2, 3, 4)))):
+                sums[i] += part
+    for slot, (hashes, sums) in found.items():
+        yield row["h"], slot, token_hash(repr(hashes)), *sums
+
+
+def _with_hosts(rows: DataFrame, hosts: DataFrame, tokens: str, salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with what is known of their hosts; ``tokens`` is the array whose length tells the size of that."""
+    if (hosts.agg(F.sum(F.size(tokens))).first()[0] or 0) <= FEW:
+        return rows.join(F.broadcast(hosts), "h", how)
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], how).drop("salt")
 
 
 def templates(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, least_tokens: int = TOKENS) -> DataFrame:
-    """(h, token): the text tokens of each host's template. ``pages`` has columns h, the host's key, and html."""
+    """(h, token, kind): the template of each host. ``pages`` has columns h, the host's key, and html."""
     with tables(pages.sparkSession) as keep:
-        rows = keep(pages.select("h", "html").mapInArrow(_tokens, "h long, page long, token long, times int, first int, is_text boolean").distinct())
-        sizes = rows.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+        rows = keep(pages.select("h", "html").mapInArrow(_tokens, _TOKENS).dropDuplicates(["h", "page"]))
+        sizes = rows.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
         # Occurrence vectors: equal numbers of pages and equal combined hashes stand for equal vectors.
-        vectors = rows.groupBy("h", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("v"), F.max("is_text").alias("is_text"))
+        each = rows.select("h", "page", F.explode(F.arrays_zip("u", "k")).alias("x")).select("h", "page", F.col("x.u").alias("token"), F.col("x.k").alias("times"))
+        vectors = each.groupBy("h", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("v"), F.max("times").alias("times"))
         vectors = vectors.join(sizes, "h").where(F.col("n") >= F.greatest(F.lit(least_pages), F.ceil(F.col("pages") * share)))
-        vectors = keep(vectors.select("h", "token", "n", F.xxhash64("n", "v").alias("class"), "is_text"))
-        classes = vectors.groupBy("h", "class").agg(F.count("*").alias("tokens"), F.max("n").alias("in_pages")).where(F.col("tokens") >= least_tokens)
-        members = keep(vectors.join(classes, ["h", "class"]).select("h", "token", "class", "tokens", "in_pages", "is_text"))
-        # Valid: a token has the same rank among its class in every page.
-        seen = rows.select("h", "page", "token", "first").join(members.select("h", "token", "class"), ["h", "token"])
-        in_class = Window.partitionBy("h", "page", "class").orderBy("first")
-        ranked = keep(seen.withColumn("rank", F.row_number().over(in_class)))
-        ordered = ranked.groupBy("h", "class", "token").agg((F.min("rank") == F.max("rank")).alias("same"))
-        valid = keep(ordered.groupBy("h", "class").agg(F.min("same").alias("valid")).where("valid").select("h", "class"))
+        vectors = keep(vectors.select("h", "token", "n", "times", F.xxhash64("n", "v").alias("class")))
+        classes = vectors.groupBy("h", "class").agg(F.count("*").alias("size"), F.max("n").alias("in_pages")).where(F.col("size") >= least_tokens)
+        members = keep(vectors.join(classes, ["h", "class"]).select("h", "token", "times", "class", "size", "in_pages"))
+        grouped = lambda x, *more: x.groupBy("h", *more).agg(F.collect_list(F.struct("token", "class")).alias("x")).select("h", *more, F.col("x.token").alias("tokens"), F.col("x.class").alias("classes"))
+        salt = F.col("page")
+        # Valid: the tokens come in the same order in every page.
+        orders = _with_hosts(rows.select("h", "page", "t"), grouped(members), "tokens", salt).mapInArrow(_scan("h, class, order", _orders), "h long, class long, order long")
+        valid = orders.groupBy("h", "class").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low = high").select("h", "class")
+        valid = keep(members.join(valid, ["h", "class"]))
         # Root: the valid class of the most pages, then tokens. Nested: all tokens in one gap of the root, in every page.
-        best = members.select("h", "class", "tokens", "in_pages").distinct().join(valid, ["h", "class"])
-        root = best.groupBy("h").agg(F.max_by("class", F.struct("in_pages", "tokens", "class")).alias("root"))
-        placed = ranked.join(valid, ["h", "class"]).join(root, "h")
-        before = Window.partitionBy("h", "page").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.withColumn("gap", F.coalesce(F.sum((F.col("class") == F.col("root")).cast("int")).over(before), F.lit(0)))
-        nested = placed.groupBy("h", "class").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.first("root").alias("root"))
-        nested = nested.where("class = root or low = high").select("h", "class")
-        return cut(members.where("is_text").join(nested, ["h", "class"]).select("h", "token"))
+        root = valid.groupBy("h").agg(F.max_by("class", F.struct("in_pages", "size", "class")).alias("root"))
+        gaps = _with_hosts(rows.select("h", "page", "t"), grouped(valid.join(root, "h"), "root"), "tokens", salt).mapInArrow(_scan("h, class, low, high", _gaps), "h long, class long, low long, high long")
+        nested = gaps.groupBy("h", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(root, "h").where("class = root or low = high").select("h", "class")
+        found = keep(valid.join(nested, ["h", "class"]).select("h", "token", "times"))
+        texts = rows.select("h", F.explode(F.transform(F.filter(F.arrays_zip("t", "f"), lambda x: x["f"] > 0), lambda x: x["t"])).alias("token"))
+        texts = texts.join(found.select("h", "token"), ["h", "token"], "left_semi").distinct().withColumn("is_text", F.lit(True))
+        found = keep(found.join(texts, ["h", "token"], "left").select("h", "token", "times", F.coalesce("is_text", F.lit(False)).alias("is_text")))
+        # Slots: what they hold over all pages.
+        bounds = found.where("is_text or times = 1").groupBy("h").agg(F.collect_list("token").alias("tokens"))
+        schema = "h long, slot long, content long, chars long, links long, away long, layout long, article long, main long"
+        held = _with_hosts(rows.select("h", "page", "t", "f", "c", "l"), bounds, "tokens", salt).mapInArrow(_scan(schema, _contents), schema)
+        sums = [F.sum(c).alias(c) for c in ("chars", "links", "away", "layout", "article", "main")]
+        slots = held.groupBy("h", "slot", "content").agg(F.count("*").alias("n"), *sums).groupBy("h", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("different"), *[F.sum(c).alias(c) for c in ("chars", "links", "away", "layout", "article", "main")])
+        most = lambda c: 2 * F.col(c) > F.col("chars")
+        same = (F.col("n") >= least_pages) & (F.col("different") <= SAME * F.col("n"))
+        slots = keep(slots.select("h", "slot", (~(most("away") | most("links") | same)).alias("may"), *[most(c).alias(c) for c in ("layout", "article", "main")]))
+        any_of = slots.where("may").groupBy("h").agg(F.max("article").alias("any_article"), F.max("main").alias("any_main"))
+        is_article = F.when(F.col("any_article"), F.col("article")).when(F.col("any_main"), F.col("main")).otherwise(~F.col("layout"))
+        chosen = slots.where("may").join(any_of, "h").where(is_article).select("h", F.col("slot").alias("token"), F.lit(ARTICLE).alias("kind"))
+        kind = F.when(F.col("is_text"), TEXT).otherwise(F.coalesce("kind", F.lit(OTHER)))
+        return cut(found.where("is_text or times = 1").join(chosen, ["h", "token"], "left").select("h", "token", kind.alias("kind")))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, set(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        known = (dict(zip(t or (), k or (), strict=True)) for t, k in zip(batch.column("tokens").to_pylist(), batch.column("kinds").to_pylist(), strict=True))
+        texts = [main_text(h, t) for h, t in zip(batch.column("html").to_pylist(), known, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -250,19 +419,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Pages without a host, by a null or odd url, form one host of their own.
     Copies of a page count once when templates are deduced; repeated rows each give a row. Other columns are not
-    read. Hosts of fewer than ``PAGES`` different pages have no template; their slots are told by elements alone.
+    read. Hosts of fewer than ``PAGES`` different pages have no template; their blocks are told by elements alone.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.xxhash64(host).alias("h"))
-    tokens = templates(rows)
-    found = tokens.groupBy("h").agg(F.collect_set("token").alias("template"))
-    if tokens.count() <= FEW:
-        joined = rows.join(F.broadcast(found), "h", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    found = templates(rows).groupBy("h").agg(F.collect_list(F.struct("token", "kind")).alias("x"))
+    found = cut(found.select("h", F.col("x.token").alias("tokens"), F.col("x.kind").alias("kinds")))
+    joined = _with_hosts(rows, found, "tokens", F.xxhash64("html", "page_id"), "left")
+    return joined.select("page_id", "url", "html", "tokens", "kinds").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -23,7 +24,7 @@ def page(rng, blocks, share="Tell your friends about us"):
 
 
 def test_elements():
-    t = lambda h: html.main_text(h, set())
+    t = lambda h: html.main_text(h)
     assert t(None) == t("") == t("<p> \n </p>") == ""
     assert t("a &amp; b &lt;c&gt; &eacute;&#233;&#x41; x&nbsp;y &amp") == "a & b <c> éA".replace("éA", "ééA x y &")
     assert t("<p>one\n two<br>three<p>four <b>five</p>six") == "one two three\nfour five\nsix"
@@ -39,12 +40,12 @@ def test_elements():
 
 
 def brute_templates(rows, least=html.PAGES, share=html.SHARE, tokens=html.TOKENS):
-    """Text tokens of templates by whole occurrence vectors, one host at a time."""
+    """Tokens of templates, but for elements that repeat in a page, by whole occurrence vectors, one host at a time."""
     out = set()
     hosts = defaultdict(dict)
     for host, h in rows:
-        hosts[host][h or ""] = [html.token_hash(t) for t, _ in html.parse(h)[1]]
-    texts = {html.token_hash(t) for _, h in rows for t, _ in html.parse(h)[1] if t[0] == "T"}
+        hosts[host][h or ""] = [html.token_hash(t) for t, _ in html.parse(h)]
+    texts = {html.token_hash(t) for _, h in rows for t, b in html.parse(h) if b}
     for host, pages in hosts.items():
         if len(pages) < least:
             continue
@@ -68,7 +69,7 @@ def brute_templates(rows, least=html.PAGES, share=html.SHARE, tokens=html.TOKENS
         for key, members in valid.items():
             gaps = {sum(p.index(r) < p.index(t) for r in root if r in p) for p in pages.values() for t in members if t in p}
             if key == roots[0] or len(gaps) == 1:
-                out |= {(host, t) for t in members if t in texts}
+                out |= {(host, t) for t in members if t in texts or max(key[1]) == 1}
     return out
 
 
@@ -79,7 +80,10 @@ def test_templates_against_brute_force(spark):
     keys = {"a": 1, "b": 2, "c": 3}
     rows = [(keys[h], t) for h, t in rows]
     got = [tuple(r) for r in html.templates(spark.createDataFrame(rows, "h long, html string")).collect()]
-    assert Counter(got) == Counter(brute_templates(rows)) and got
+    assert Counter(r[:2] for r in got) == Counter(brute_templates(rows)) and got
+    assert {r[2] for r in got} == {html.TEXT, html.OTHER, html.ARTICLE}
+    texts = {html.token_hash(t) for _, h in rows for t, b in html.parse(h) if b}
+    assert all((r[2] == html.TEXT) == (r[1] in texts) for r in got)
 
 
 @pytest.mark.parametrize("few", [0, html.FEW])
@@ -100,3 +104,47 @@ def test_extraction(spark, monkeypatch, few):
     for i in range(40):
         assert by[i] == want[i], i
     assert html.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def bare(rng, blocks, extra=""):
+    """A page whose elements have no telling names."""
+    links = "".join(f"<div><a href=/{rng.random()}>{w}</a></div>" for w in article(rng, 3))
+    return f"<html><body><div class=x1><div class=x2>{links}</div></div><div class=x3><div class=x4>Free to read, always.</div></div><div class=x5>{''.join(f'<p>{b}</p>' for b in blocks)}{extra}</div><div class=x6>{rng.choice(['Daily', 'Weekly'])}</div></body></html>"
+
+
+def test_the_template_decides(spark, monkeypatch):
+    """Menus of varying links, constant notices and a slot with two contents are told by the host's pages alone."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(30):
+        blocks = article(rng)
+        rows.append((i, f"https://bare.example/{i}", bare(rng, blocks), 0, ""))
+        want[i] = "\n".join(blocks)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+    empty = spark.createDataFrame([], "h long, token long, kind int")
+    monkeypatch.setattr(html, "templates", lambda pages: empty)
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert all(got[i] != want[i] and "Free to read" in got[i] for i in want)
+
+
+def test_templates_of_the_driver_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    keyed = pages.selectExpr("xxhash64(regexp_extract(url, '://([^/]*)', 1)) AS h", "html")
+    large = {r["h"] for r in keyed.distinct().groupBy("h").count().where("count >= 4").collect()}
+    found = html.templates(keyed).collect()
+    assert large and {r["h"] for r in found if r["kind"] == html.ARTICLE} == large
+
+
+def test_inline_parts_that_are_no_text():
+    t = html.main_text
+    assert t("<p>Hello <button>Share now</button> world</p>") == "Hello world"
+    assert t('<p>a <span class="advert">Buy</span> b <label>Name</label>c</p><p>d</p>') == "a b c\nd"
+    assert t("<article><p class='social'>x</p><section id='related-work'><p>y</p></section><div class='related-posts'>z</div></article>") == "x\ny"
+
+
+def test_time_is_linear_in_depth():
+    for text in ("<div>x" * 50000, "<div>" * 50000 + "</section>" * 50000, "<i><div>" + "<b>" * 50000 + "</i>" * 50000, "<b>" * 50000 + "<p>y</p>" * 50000, "<article><div class=sidebar>" * 20000):
+        start = time.perf_counter()
+        html.main_text(text)
+        assert time.perf_counter() - start < 3
