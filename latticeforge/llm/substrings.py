@@ -90,9 +90,14 @@ def _anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return quarter, anchor, starts
 
 
-def text_key(text: bytes) -> int:
-    """Identity of a text: 64 bits, signed."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def text_key(text: bytes) -> tuple[int, int]:
+    """Identity of a text: 128 bits, as two signed numbers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(text), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
+
+
+def _keys(keys: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
 
 
 def _encoded(column: pa.Array) -> list[bytes]:
@@ -109,7 +114,7 @@ def _first_level(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for text in _encoded(batch.column("text")):
                 parts = text.split()
                 if len(parts) < length:
@@ -121,10 +126,10 @@ def _first_level(length: int):
                 # A full window holds the half window that ends or the one that begins with its anchor.
                 left = np.where(at + quarter_size >= half, halves[np.maximum(at + quarter_size - half, 0)], np.uint64(0))
                 right = np.where(at < len(halves), halves[np.minimum(at, len(halves) - 1)], np.uint64(0))
-                for out, values in zip(columns, (np.full(len(at), text_key(text), np.int64), quarter[at].view(np.int64), at.astype(np.int32), left.view(np.int64), right.view(np.int64)), strict=True):
+                for out, values in zip(columns, (*(np.full(len(at), x, np.int64) for x in text_key(text)), quarter[at].view(np.int64), at.astype(np.int32), left.view(np.int64), right.view(np.int64)), strict=True):
                     out.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["k", "h", "p", "l", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["k", "q", "h", "p", "l", "r"])
 
     return scan
 
@@ -135,8 +140,8 @@ def _full_level(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, plain = _Words(), zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("k", "n", "h", "s", "g", "w", "run")}
-            for k, n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "packed")), batch.column("at"), strict=True):
+            out: dict[str, list] = {n: [] for n in ("k", "q", "n", "h", "s", "g", "w", "run")}
+            for k, q, n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("k", "q", "n", "packed")), batch.column("at"), strict=True):
                 words = hashes(plain.decompress(packed).split())
                 quarter, anchor, starts = _anchors(words, length)
                 full = _windows(words, length)
@@ -145,13 +150,14 @@ def _full_level(length: int):
                 for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
                     blob = full[s:e].tobytes()
                     out["k"].append(k)
+                    out["q"].append(q)
                     out["n"].append(n)
                     out["h"].append(int(quarter[anchor[s]].view(np.int64)))
                     out["s"].append(s)
                     out["g"].append(e - s)
                     out["w"].append(blob)
-                    out["run"].append(text_key(blob))
-            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["s"], pa.int32()), pa.array(out["g"], pa.int32()), pa.array(out["w"], pa.binary()), pa.array(out["run"], pa.int64())], names=list(out))
+                    out["run"].append(text_key(blob)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), pa.array(out["q"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["s"], pa.int32()), pa.array(out["g"], pa.int32()), pa.array(out["w"], pa.binary()), pa.array(out["run"], pa.int64())], names=list(out))
 
     return scan
 
@@ -191,7 +197,7 @@ def _summaries(length: int):
                 keys.append(text_key(text))
                 sizes.append(len(words))
                 hashes.append(hashlib.sha256(b" ".join(words)).digest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "k", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_keys(keys), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "k", "q", "n_words", "sha"])
 
     return scan
 
@@ -200,7 +206,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = _encoded(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["id", "k", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *_keys([text_key(t) for t in texts]), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["id", "k", "q", "packed"])
 
 
 def _removed(length: int):
@@ -208,7 +214,7 @@ def _removed(length: int):
         plain = zstandard.ZstdDecompressor()
         for batch in batches:
             found = [_kept(plain.decompress(t), [(x["s"], x["g"]) for x in spans], length) for t, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2].decode("utf-8") for f in found], pa.string())], names=["k", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("q"), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2].decode("utf-8") for f in found], pa.string())], names=["k", "q", "n_removed", "kept"])
 
     return scan
 
@@ -222,8 +228,8 @@ def _repeated(rows: DataFrame, keys: list[str], weight: str | None = None) -> Da
 class Found:
     """What ``repeated_windows`` finds.
 
-    rows: (id, k, n_words, sha) per row of the input, k its text's key. copies: (k, n, id) per text, id the
-    smallest. spans: (k, spans) for texts that occur once and hold repeated windows; spans are arrays of
+    rows: (id, k, q, n_words, sha) per row of the input, k and q its text's key. copies: (k, q, n, id) per text, id
+    the smallest. spans: (k, q, spans) for texts that occur once and hold repeated windows; spans are arrays of
     (s, g), g windows from word s on. A text that occurs more often repeats as a whole, if it is long enough.
     """
 
@@ -236,36 +242,36 @@ def repeated_windows(docs: DataFrame, length: int = 35, id_column: str = "doc_id
     if length < 4:
         raise ValueError("windows have 4 words at least")
     texts = docs.select(docs[id_column].cast("long").alias("id"), text_or_empty(docs, text_column).alias("text"))
-    rows = cut(texts.mapInArrow(_summaries(length), "id long, k long, n_words long, sha binary"))
-    copies = cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    rows = cut(texts.mapInArrow(_summaries(length), "id long, k long, q long, n_words long, sha binary"))
+    copies = cut(rows.groupBy("k", "q").agg(F.count("*").alias("n"), F.min("id").alias("id")))
 
     spark = docs.sparkSession
-    packed = texts.mapInArrow(_packed, "id long, k long, packed binary")
+    packed = texts.mapInArrow(_packed, "id long, k long, q long, packed binary")
     with tables(spark) as keep_quarters:
         # Quarter windows.
-        anchors = keep_quarters(texts.select("text").mapInArrow(_first_level(length), "k long, h long, p int, l long, r long"))
+        anchors = keep_quarters(texts.select("text").mapInArrow(_first_level(length), "k long, q long, h long, p int, l long, r long"))
         with tables(spark) as keep_halves:
-            left = keep_halves(anchors.join(_repeated(anchors, ["h"]), "h", "left_semi"))
+            left = keep_halves(anchors.join(keep_halves(_repeated(anchors, ["h"])), "h", "left_semi"))
             # Half windows: to the left and to the right of a quarter window that is left.
             side = lambda n, x: F.struct(F.lit(n).alias("side"), F.col(x).alias("x"))
-            halves = left.select("k", "p", F.explode(F.array(side(0, "l"), side(1, "r"))).alias("half")).select("k", "p", "half.side", "half.x").where("x != 0")
-            halves = halves.join(_repeated(halves, ["side", "x"]), ["side", "x"], "left_semi")
-            wanted = cut(halves.groupBy("k").agg(F.collect_set("p").alias("at")))
+            halves = left.select("k", "q", "p", F.explode(F.array(side(0, "l"), side(1, "r"))).alias("half")).select("k", "q", "p", "half.side", "half.x").where("x != 0")
+            halves = halves.join(keep_halves(_repeated(halves, ["side", "x"])), ["side", "x"], "left_semi")
+            wanted = cut(halves.groupBy("k", "q").agg(F.collect_set("p").alias("at")))
     with tables(spark) as keep:
         # Full windows around those, one text for all its copies.
-        one = wanted.join(copies.select("k", "id", F.least("n", F.lit(2)).alias("n")), "k")
-        same = (packed["k"] == one["k"]) & packed["id"].eqNullSafe(one["id"])
-        runs = packed.join(one, same).select(packed["k"], "n", "packed", "at").mapInArrow(_full_level(length), "k long, n long, h long, s int, g int, w binary, run long")
+        one = cut(wanted.join(copies.select("k", "q", "id", F.least("n", F.lit(2)).alias("n")), ["k", "q"]))
+        same = (packed["k"] == one["k"]) & (packed["q"] == one["q"]) & packed["id"].eqNullSafe(one["id"])
+        runs = packed.join(one, same).select(packed["k"], packed["q"], "n", "packed", "at").mapInArrow(_full_level(length), "k long, q long, n long, h long, s int, g int, w binary, run long")
         runs = keep(runs)
         whole = keep(runs.groupBy("h", "run").agg(F.sum("n").alias("n"), F.min_by("w", "s").alias("w")))
         # Where all runs with an anchor are equal, their number decides; else each window counts.
-        mixed = _repeated(whole, ["h"])
+        mixed = keep(_repeated(whole, ["h"]))
         windows = keep(whole.join(mixed, "h", "left_semi").select("h", "run", "n", "w").mapInArrow(_spread, "h long, run long, j int, x long, n long"))
-        found = windows.join(_repeated(windows, ["h", "x"], "n"), ["h", "x"], "left_semi").where("n = 1").select("h", "run", "j")
-        alone = runs.where("n = 1").select("k", "s", "g", "h", "run")
-        spans = alone.join(whole.where("n > 1").select("h", "run"), ["h", "run"], "left_semi").select("k", "s", "g")
-        spans = spans.union(alone.select("k", "s", "h", "run").join(found, ["h", "run"]).select("k", (F.col("s") + F.col("j")).alias("s"), F.lit(1).alias("g")))
-        spans = cut(spans.groupBy("k").agg(F.collect_list(F.struct("s", "g")).alias("spans")))
+        found = windows.join(keep(_repeated(windows, ["h", "x"], "n")), ["h", "x"], "left_semi").where("n = 1").select("h", "run", "j")
+        alone = runs.where("n = 1").select("k", "q", "s", "g", "h", "run")
+        spans = alone.join(whole.where("n > 1").select("h", "run"), ["h", "run"], "left_semi").select("k", "q", "s", "g")
+        spans = spans.union(alone.select("k", "q", "s", "h", "run").join(found, ["h", "run"]).select("k", "q", (F.col("s") + F.col("j")).alias("s"), F.lit(1).alias("g")))
+        spans = cut(spans.groupBy("k", "q").agg(F.collect_list(F.struct("s", "g")).alias("spans")))
     return Found(rows, copies, spans, packed)
 
 
@@ -279,8 +285,8 @@ def deduplicate(docs: DataFrame, length: int = 35, id_column: str = "doc_id", te
     Null and repeated ids are allowed; other columns are not read; no rows give no rows.
     """
     found = repeated_windows(docs, length, id_column, text_column)
-    changed = found.texts.join(found.spans, "k").select("k", "packed", "spans").mapInArrow(_removed(length), "k long, n_removed long, kept string")
-    rows = found.rows.join(found.copies.select("k", "n"), "k").join(changed, "k", "left")
+    changed = found.texts.join(found.spans, ["k", "q"]).select("k", "q", "packed", "spans").mapInArrow(_removed(length), "k long, q long, n_removed long, kept string")
+    rows = found.rows.join(found.copies.select("k", "q", "n"), ["k", "q"]).join(cut(changed), ["k", "q"], "left")
     gone = (F.col("n") > 1) & (F.col("n_words") >= length)
     return rows.select(
         F.col("id").alias(id_column),
