@@ -5,13 +5,16 @@ nearest pivots, per label. Two vectors that meet in a list share those two pivot
 share enough of all their listed pivots, and then by cosine in double precision. A pair that meets in several
 lists is counted in the first of them only.
 
-Lists are compared in blocks: a list of many vectors is spread over pairs of blocks of bounded size, so no task
-holds a whole list, and every pair is still met once. A task returns, for each vector, its number of links and the
-smallest vector it is joined to in that block: output grows with the list, not with its pairs.
+There are as many pivots as the square root of the number of vectors, so lists stay short as vectors are added; lists hold
+ids, and only vectors that meet another one in a list are fetched. A list of many vectors is spread over pairs of blocks of
+bounded size, so no task holds a whole list, and every pair is still met once. A task returns, for each vector, its number
+of links and the smallest vector it is joined to in that block: output grows with the list, not with its pairs. The work
+inside a list grows with its pairs: all links of a group of near copies are counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import cut, table
 from ._components import connected_components
 
-PIVOTS, NEAREST, LISTED, SHARED, SAMPLE, BLOCK, SEED = 64, 8, 4, 3, 4096, 1024, 11
+PIVOTS, NEAREST, LISTED, SHARED, SAMPLE, BLOCK, SEED = 64, 8, 5, 3, 4096, 1024, 11
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -59,18 +62,18 @@ def _describe(pivots: np.ndarray, nearest: int, listed: int):
             for size, at in by_size.items():
                 x = np.array([rows[i] for i in at], np.float64)
                 if size == pivots.shape[1]:
-                    order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
+                    order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
                 else:  # vectors of another size than most have lists of their own
-                    order = np.tile(np.arange(nearest, dtype=np.int16), (len(at), 1))
+                    order = np.tile(np.arange(nearest, dtype=np.int32), (len(at), 1))
                 for i, near in zip(at, order.tolist(), strict=True):
                     top = sorted(near[:listed])
                     out["c"].append(ids[i])
                     out["label"].append(labels[i])
                     out["n"].append(times[i])
                     out["near"].append(near)
-                    out["lists"].append([size * 1_000_000 + a * 1000 + b for a, b in combinations(top, 2)] if size == pivots.shape[1] else [size * 1_000_000])
+                    out["lists"].append([a << 32 | b for a, b in combinations(top, 2)] if size == pivots.shape[1] else [-1 - size])
                     out["vector"].append(rows[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out["c"], pa.int64()), pa.array(out["label"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["near"], pa.list_(pa.int16())), pa.array(out["lists"], pa.list_(pa.int64())), pa.array(out["vector"], batch.column("vector").type)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["c"], pa.int64()), pa.array(out["label"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["near"], pa.list_(pa.int32())), pa.array(out["lists"], pa.list_(pa.int64())), pa.array(out["vector"], batch.column("vector").type)], names=list(out))
 
     return scan
 
@@ -95,19 +98,20 @@ def _compare(limit: float, shared: int, listed: int, own_size: int):
         ordered = len(pdf["vector"].iloc[0]) == own_size
         if ordered:
             near_a, near_b = (np.stack(x["near"].to_numpy()) for x in (first, second))
-            wide = int(max(near_a.max(), near_b.max())) + 1
+            pivots = np.unique(np.concatenate([near_a, near_b]))  # few of all, in their order
+            near_a, near_b, wide = np.searchsorted(pivots, near_a), np.searchsorted(pivots, near_b), len(pivots)
             candidates &= _marks(near_a, wide) @ _marks(near_b, wide).T >= shared
         rows, cols = np.nonzero(candidates & (a @ b.T >= limit))
         if ordered and len(rows):
             # The pair belongs to the list of the two least pivots that both have listed.
             top_a, top_b = _marks(near_a[:, :listed], wide) > 0, _marks(near_b[:, :listed], wide) > 0
-            own = int(pdf["list"].iloc[0]) % 1_000_000
+            own = int(pdf["list"].iloc[0])
             here = []
             for at in range(0, len(rows), 65536):
                 both = top_a[rows[at : at + 65536]] & top_b[cols[at : at + 65536]]
                 low = both.argmax(axis=1)
                 both[np.arange(len(both)), low] = False
-                here.append(low * 1000 + both.argmax(axis=1) == own)
+                here.append((pivots[low].astype(np.int64) << 32 | pivots[both.argmax(axis=1)]) == own)
             here = np.concatenate(here)
             rows, cols = rows[here], cols[here]
         if not len(rows):
@@ -129,18 +133,19 @@ def _compare(limit: float, shared: int, listed: int, own_size: int):
 
 
 def _blocks(index: DataFrame, block: int) -> DataFrame:
-    """Each vector once for every pair of blocks that its block is part of, in each of its lists."""
-    lists = index.select("c", "label", "n", "near", "vector", F.explode("lists").alias("list"))
+    """Each vector once for every pair of blocks that its block is part of, in each of its lists that holds another one."""
+    lists = index.select("c", "label", F.explode("lists").alias("list"))
     sizes = lists.groupBy("label", "list").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = sizes.select("label", "list", F.ceil(F.col("m") / block).alias("of"))
+    sizes = cut(sizes.select("label", "list", F.ceil(F.col("m") / block).alias("of")))
     lists = lists.join(sizes, ["label", "list"]).withColumn("b", F.pmod(F.hash("c"), F.col("of")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))
     pairs = lists.withColumn("o", other)
     side = F.when(F.col("o") == F.col("b"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    return pairs.select("label", "list", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "c", "n", "near", "vector")
+    pairs = pairs.select("c", "label", "list", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"))
+    return pairs.join(index.select("c", "n", "near", "vector"), "c").select("label", "list", "i", "j", "side", "c", "n", "near", "vector")
 
 
-def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", pivots: int = PIVOTS, nearest: int = NEAREST, listed: int = LISTED, shared: int = SHARED, sample: int = SAMPLE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", pivots: int | None = None, nearest: int = NEAREST, listed: int = LISTED, shared: int = SHARED, sample: int = SAMPLE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
     Rows with equal labels are linked if their cosine is at least ``limit`` and the index finds them: they share
@@ -148,8 +153,9 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "v
     is verified; recall is measured in the tests. Vectors that are null, empty, zero or hold null or non-finite
     components, and those without label, link with nothing. Vectors of different sizes are never linked.
 
-    Equal vectors of a label are one class, which is never expanded into pairs. Pivots are chosen from ``sample`` rows
-    at most, those with the least hash; all rows are indexed. Repeated ids are separate vectors; a null id has no
+    Equal vectors of a label are one class, told by 128 bits, which is never expanded into pairs. There are ``pivots`` pivots,
+    by default the square root of the number of classes, 64 at least, chosen from ``sample`` rows, or as many as there are
+    pivots, those with the least hash; all rows are indexed. Repeated ids are separate vectors; a null id has no
     links of its own to name and its component is that of the smallest id reached. Extra columns are not read.
     """
     kind = dict(vectors.dtypes)[vector_column]
@@ -157,11 +163,15 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "v
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast(kind).alias("vector"), vectors[label_column].cast("long").alias("label"))
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     fit = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("fit", fit).withColumn("c", F.when(F.col("fit"), F.xxhash64("label", "vector")))
+    rows = rows.withColumn("fit", fit)
+    rows = rows.withColumn("h1", F.when(F.col("fit"), F.xxhash64("label", "vector"))).withColumn("h2", F.when(F.col("fit"), F.xxhash64(F.lit(1), "label", "vector")))
     rows = cut(rows)
     members = rows.where("fit")
-    classes = cut(members.groupBy("c").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")))
-    few = classes.orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(sample).select("vector").toPandas()["vector"]
+    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))  # numbers that are written, and so stay
+    pivots = pivots or max(PIVOTS, math.isqrt(classes.count()) + 1)
+    sample = max(sample, pivots)
+    few = classes.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(sample).select("vector").toPandas()["vector"]
     if not len(few):
         return rows.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     size = int(few.map(len).mode().iloc[0])
@@ -170,15 +180,16 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "v
     shared = min(shared, nearest)
     if listed < 2:  # too few vectors to choose two pivots from: one list for all
         points, size = np.zeros((nearest, 0)), -1
-    index = classes.select("c", "label", "n", "vector").mapInArrow(_describe(points, nearest, listed), f"c long, label long, n long, near array<short>, lists array<long>, vector {kind}")
+    index = classes.select("c", "label", "n", "vector").mapInArrow(_describe(points, nearest, listed), f"c long, label long, n long, near array<int>, lists array<long>, vector {kind}")
     blocks = _blocks(cut(index), block).groupBy("label", "list", "i", "j")
     found = cut(blocks.applyInPandas(_compare(limit, shared, listed, size), "c long, links long, low long"))
     roots = connected_components(found.select("c", "low"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
-    named = classes.select("c", "id", "n").join(links, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    named = named.select("c", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "c").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("c", "n_links", "component_id")
-    linked = members.join(named, "c").select("id", "n_links", "component_id")
+    named = classes.select("c", "h1", "h2", "id", "n").join(links, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    named = named.select("h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "c").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root")
+    named = cut(named.select("h1", "h2", "n_links", "component_id"))
+    linked = members.join(named, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
