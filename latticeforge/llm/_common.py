@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
 def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function like ``cut`` that writes compressed tables; they are deleted at the end of the block."""
     _set_folder(spark)
-    jvm, paths = spark.sparkContext._jvm, []
+    paths: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
         path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
@@ -65,8 +65,12 @@ def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in paths:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
