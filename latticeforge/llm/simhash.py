@@ -58,15 +58,8 @@ def _bits(column: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def pigeonring_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """Pairs (fp_a, fp_b), fp_a < fp_b, of the distinct values of ``prints.fp`` at 1 to ``distance`` differing bits.
-
-    The 64 bits form a ring of distance + 1 segments. If at most ``distance`` bits differ, a segment exists
-    from which every chain of l consecutive segments differs in at most l * distance / (distance + 1) bits,
-    rounded down. So the first segment of that chain is equal, and the second differs in at most one bit:
-    one of its two halves is equal too. The join key is the first segment with such a half, the join condition
-    holds every longer chain to its budget, and the whole ring is the Hamming check.
-    """
+def _ring_rows(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, way, part): for each first segment of the ring and each half of the second, the bits that a chain starts with."""
     if not 1 <= distance <= 7:
         raise ValueError("distance must be from 1 to 7")
     count = distance + 1
@@ -78,8 +71,13 @@ def pigeonring_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
         for j, (at, w) in enumerate(((after, half), (after + half, wide - half))):
             part = F.shiftleft(_bits("fp", shift, width), w).bitwiseOR(_bits("fp", at, w))
             keys.append(F.struct(F.lit(2 * i + j).alias("way"), part.alias("part")))
-    rows = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.way", "key.part")
-    a, b = rows.select(F.col("fp").alias("fp_a"), "way", "part"), rows.select(F.col("fp").alias("fp_b"), "way", "part")
+    return prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.way", "key.part")
+
+
+def _chains_hold(distance: int) -> Column:
+    """Whether every chain of segments from that of ``way`` on keeps its budget, for fp_a and fp_b."""
+    count = distance + 1
+    ring = _segments(64, count)
     differing = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     within = F.lit(False)
     for i in range(count):
@@ -89,7 +87,30 @@ def pigeonring_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
             chain = chain + F.bit_count(F.shiftrightunsigned(differing, shift).bitwiseAND(F.lit((1 << width) - 1)))
             met = met & (chain <= (n + 1) * distance // count)
         within = within | ((F.col("way") >= 2 * i) & (F.col("way") <= 2 * i + 1) & met)
-    return a.join(b, ["way", "part"]).where((F.col("fp_a") < F.col("fp_b")) & within).select("fp_a", "fp_b").distinct()
+    return within
+
+
+def pigeonring_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """Pairs (fp_a, fp_b), fp_a < fp_b, of the distinct values of ``prints.fp`` at 1 to ``distance`` differing bits.
+
+    The 64 bits form a ring of distance + 1 segments. If at most ``distance`` bits differ, a segment exists
+    from which every chain of l consecutive segments differs in at most l * distance / (distance + 1) bits,
+    rounded down. So the first segment of that chain is equal, and the second differs in at most one bit:
+    one of its two halves is equal too. The join key is the first segment with such a half, the join condition
+    holds every longer chain to its budget, and the whole ring is the Hamming check.
+    """
+    rows = _ring_rows(prints, distance)
+    a, b = rows.select(F.col("fp").alias("fp_a"), "way", "part"), rows.select(F.col("fp").alias("fp_b"), "way", "part")
+    return a.join(b, ["way", "part"]).where((F.col("fp_a") < F.col("fp_b")) & _chains_hold(distance)).select("fp_a", "fp_b").distinct()
+
+
+def pigeonring_stars(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """Those of the pairs whose first value is the least of all that start a chain alike: as many as values, whatever the
+    groups. They join most of a group, and are for callers that look for the other links by other means."""
+    rows = _ring_rows(prints, distance)
+    least = cut(rows.groupBy("way", "part").agg(F.min("fp").alias("fp_a"), F.max("fp").alias("last")).where("fp_a < last").drop("last"))
+    pairs = rows.withColumnRenamed("fp", "fp_b").join(least, ["way", "part"])
+    return pairs.where((F.col("fp_a") != F.col("fp_b")) & _chains_hold(distance)).select("fp_a", "fp_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
