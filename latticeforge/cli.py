@@ -2,6 +2,7 @@
 
     python -m latticeforge.cli mine -o out --support 3 itemset --max-items 4 data.txt dfs
     python -m latticeforge.cli sample -o out --support 5 --samples 20 digraph -l veg graph.veg uniprox
+    python -m latticeforge.cli list-embeddings --pattern '{1:2}(a)(b)[0->1:x]' -o out -l veg graph.veg
     python -m latticeforge.cli find-embeddings --pattern '{1:2}(a)(b)[0->1:x]' -l veg graph.veg
     python -m latticeforge.cli dot-to-veg graphs.dot out
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import patterns as P
 from .operators import digraphs, itemsets
 from .options import DigraphOptions, ItemsetOptions
-from .plans import modes, reporters
+from .plans import estimates, modes, reporters
 from .sources import graphs, transactions
 
 
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
         c = commands.add_parser(command)
         c.add_argument("-o", "--output", required=True)
         c.add_argument("--support", type=int, required=True)
-        c.add_argument("--reporters", default="max" if command == "sample" else "", help="comma-separated: max, canon-max, unique, count, histogram, skip=N")
+        c.add_argument("--reporters", default="max" if command == "sample" else "", help="comma-separated: max, canon-max, unique, count, histogram, log[=PREFIX], file, dir, skip=N; chain ... endchain tees")
         c.add_argument("--seed", type=int, default=1)
         if command == "sample":
             c.add_argument("--samples", type=int, required=True)
@@ -47,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
         for what in ("edges", "vertices"):
             g.add_argument(f"--min-{what}", type=int, default=0)
             g.add_argument(f"--max-{what}", type=int, default=0)
+        g.add_argument("--extend-from-freq-edges", action="store_true")
         g.add_argument("-i", "--include", action="append", default=[])
         g.add_argument("-e", "--exclude", action="append", default=[])
         for x in (t, g):
@@ -55,6 +57,14 @@ def parser() -> argparse.ArgumentParser:
     f = commands.add_parser("find-embeddings")
     f.add_argument("-p", "--pattern", action="append", default=[])
     f.add_argument("--names")
+    f.add_argument("--probabilities", help="lines of pr, pattern; estimates over them are printed")
+    f.add_argument("--samples", type=int, help="draws that the probabilities are of; the number of lines if not given")
+    e = commands.add_parser("list-embeddings")
+    e.add_argument("-p", "--pattern", action="append", default=[])
+    e.add_argument("--names")
+    e.add_argument("-o", "--output", required=True)
+    e.add_argument("-l", "--loader", default="veg", choices=("veg", "dot", "int"))
+    e.add_argument("path")
     f.add_argument("-l", "--loader", default="veg", choices=("veg", "dot", "int"))
     f.add_argument("path")
     for convert in ("dot-to-veg", "veg-to-int", "clean-dot"):
@@ -64,20 +74,31 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _names(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    return list(a.pattern) + ([r["pattern"] for r in graphs.read_names(spark, a.names).toLocalIterator()] if a.names else [])
+
+
 def _lattice(spark: SparkSession, a: argparse.Namespace) -> modes.Lattice:
     if a.type == "itemset":
         rows = transactions.read_int_transactions(spark, a.path)
         return modes.Lattice.of_itemsets(itemsets.mine(rows, ItemsetOptions(a.support, a.min_items, a.max_items)))
     graph = graphs.check_ends(graphs.read_graph(spark, a.path, a.loader, tuple(a.include), tuple(a.exclude)))
-    options = DigraphOptions(a.support, a.min_edges, a.max_edges, a.min_vertices, a.max_vertices, a.count_mode)
+    options = DigraphOptions(a.support, a.min_edges, a.max_edges, a.min_vertices, a.max_vertices, a.count_mode, "freq-edges" if a.extend_from_freq_edges else "embeddings")
     return modes.Lattice.of_digraphs(digraphs.mine(graph, options))
 
 
 def _report(a: argparse.Namespace, lattice: modes.Lattice, rows) -> None:
     out = {"patterns": rows}
+    held: list = []
     for name in filter(None, a.reporters.split(",")):
         name, _, value = name.partition("=")
-        if name == "max":
+        if name == "chain":
+            held.append(rows)
+        elif name == "endchain":
+            if not held:
+                raise SystemExit("endchain without chain")
+            rows = held.pop()
+        elif name == "max":
             rows = reporters.only_maximal(lattice.edges)(rows)
         elif name == "canon-max":
             rows = reporters.only_canonical_leaves(lattice.edges)(rows)
@@ -87,11 +108,19 @@ def _report(a: argparse.Namespace, lattice: modes.Lattice, rows) -> None:
             rows = reporters.skip(int(value), "seq")(rows)
         elif name == "count":
             out["count"] = reporters.count(rows)
+        elif name == "log":
+            out["log"] = reporters.log_lines(value, "key", "seq")(rows)
+        elif name == "file":
+            reporters.file_report(f"{a.output}/file", rows.select(F.col("key").alias("line")), rows, probabilities=rows if "pr" in rows.columns else None)
+        elif name == "dir":
+            reporters.dir_report(f"{a.output}/dir", rows.withColumn("sample", F.col("seq")).withColumn("pattern", F.col("key")))
         elif name == "histogram":
             out["histogram"] = reporters.histogram(rows, "key")
         else:
             raise SystemExit(f"unknown reporter {name}")
         out["patterns"] = rows
+    if held:
+        raise SystemExit("chain without endchain")
     reporters.write_reports(out, a.output, "json")
 
 
@@ -119,14 +148,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         _report(a, lattice, rows)
     elif a.command == "find-embeddings":
         graph = graphs.read_graph(spark, a.path, a.loader)
-        names = list(a.pattern)
-        if a.names:
-            names += [r["pattern"] for r in graphs.read_names(spark, a.names).toLocalIterator()]
-        for name in names:
+        prs, lines = {}, 0
+        if a.probabilities:
+            rows, lines = graphs.read_probabilities(transactions.numbered_lines(spark, a.probabilities))
+            prs = {r["pattern"]: r["pr"] for r in reporters.collector(rows)}
+        found = []
+        for name in dict.fromkeys([*_names(spark, a), *prs]):
             pattern = P.parse(name)
             share, part = digraphs.estimate_match(graph, pattern)
             n = digraphs.find_embeddings(graph, part).count() if part.vertices else 0
             print(f"{share:g}, {n}, {part.name()}, {pattern.name()}")
+            if prs.get(name):
+                found.append((prs[name], float(share)))
+        if found:
+            row = estimates.horvitz_thompson(spark.createDataFrame(found, "pr double, y double"), a.samples or lines).first()
+            print(", ".join(f"{k} {v:g}" for k, v in row.asDict().items()))
+    elif a.command == "list-embeddings":
+        graph = graphs.read_graph(spark, a.path, a.loader)
+        for k, name in enumerate(_names(spark, a)):
+            pattern = P.parse(name)
+            rows = digraphs.find_embeddings(graph, pattern)
+            rows = rows.select(F.lit(pattern.name()).alias("key"), F.array(*[f"v{i}" for i in range(len(pattern.vertices))]).alias("ids"))
+            reporters.embedding_dots(rows, graph.vertices).select("dot").write.mode("overwrite").text(f"{a.output}/{k}")
     elif a.command == "dot-to-veg":
         files = spark.read.text(a.path, wholetext=True).select(F.input_file_name().alias("path"), "value")
         graphs.veg_lines(graphs.parse_dot(files, per_graph_ids=True)).write.mode("overwrite").text(a.output)

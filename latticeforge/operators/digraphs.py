@@ -7,12 +7,12 @@ patterns are computed in Python; matching, counting and pruning are joins and ag
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -59,14 +59,51 @@ def frequent_edges(graph: Graph, support: int) -> DataFrame:
     return rows.join(enough, triple, "left_semi").select("src", "targ", "label", "src_label", "targ_label")
 
 
-def find_embeddings(graph: Graph, pattern: P.Pattern) -> DataFrame:
+def fitting(graph: Graph, pattern: P.Pattern) -> Graph:
+    """The graph without vertices whose label or degrees fit no position of the pattern: they are in no embedding."""
+    needed = {}
+    for i, label in enumerate(pattern.vertices):
+        needed.setdefault(label, set()).add((sum(s == i for s, _, _ in pattern.edges), sum(t == i for _, t, _ in pattern.edges)))
+    least = lambda label: reduce(lambda a, b: a | b, [(F.col("out_degree") >= o) & (F.col("in_degree") >= i) for o, i in sorted(needed[label])])
+    fits = reduce(lambda a, b: a | b, [(F.col("label") == label) & least(label) for label in sorted(needed)], F.lit(False))
+    vertices = graph.vertices.join(degrees(graph), "id").where(fits).select(*graph.vertices.columns)
+    ids = vertices.select("id")
+    edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "targ"), "targ", "left_semi")
+    return Graph(vertices, edges.select(*graph.edges.columns))
+
+
+def as_graph(spark: SparkSession, pattern: P.Pattern) -> Graph:
+    """A pattern as a graph of its own, vertices named by their position."""
+    vertices = spark.createDataFrame([(str(i), v) for i, v in enumerate(pattern.vertices)], "id string, label string")
+    return Graph(vertices, spark.createDataFrame([(str(s), str(t), e) for s, t, e in pattern.edges], "src string, targ string, label string"))
+
+
+def exists(graph: Graph, pattern: P.Pattern, embeddings: DataFrame) -> DataFrame:
+    """``embeddings`` (v0, v1, ...) with ``ok``: ids differ, labels fit, and every edge of the pattern is there."""
+    columns = [f"v{i}" for i in range(len(pattern.vertices))]
+    out = embeddings.withColumn("ok", F.size(F.array_distinct(F.array(*columns))) == len(columns))
+    labels = graph.vertices.select(F.col("id").alias("id_"), F.col("label").alias("label_"))
+    for c, label in zip(columns, pattern.vertices, strict=True):
+        right = labels.where(F.col("label_") == label).select(F.col("id_").alias(c), F.lit(True).alias("has_"))
+        out = out.join(right, c, "left").withColumn("ok", F.col("ok") & F.col("has_").isNotNull()).drop("has_")
+    for s, t, e in pattern.edges:
+        right = graph.edges.where(F.col("label") == e).select(F.col("src").alias("s_"), F.col("targ").alias("t_")).distinct().withColumn("has_", F.lit(True))
+        out = out.join(right, (F.col(f"v{s}") == F.col("s_")) & (F.col(f"v{t}") == F.col("t_")), "left")
+        out = out.withColumn("ok", F.col("ok") & F.col("has_").isNotNull()).drop("s_", "t_", "has_")
+    return out.select(*embeddings.columns, "ok")
+
+
+def find_embeddings(graph: Graph, pattern: P.Pattern, degree_filter: bool = False) -> DataFrame:
     """All injective, label-preserving embeddings: columns v0, v1, ... of vertex ids.
 
     One join for each edge of a chain, the first edges first bound; an edge between bound vertices joins on both ends.
-    Vertices of equal label are kept apart by conditions of the joins.
+    Vertices of equal label are kept apart by conditions of the joins. With ``degree_filter`` vertices of too small
+    degrees are left out before, which pays where joins would grow at hubs.
     """
     if not pattern.vertices:
         raise ValueError("the empty pattern has no embedding")
+    if degree_filter:
+        graph = fitting(graph, pattern)
     if not pattern.edges:
         return graph.vertices.where(F.col("label") == pattern.vertices[0]).select(F.col("id").alias("v0"))
     rows, bound = None, set()
@@ -127,10 +164,36 @@ def overlap(embeddings: DataFrame) -> DataFrame:
 
 def mni(embeddings: DataFrame) -> DataFrame:
     """(key, support): least number of distinct graph vertices over the positions of a pattern."""
-    images = overlap(embeddings).groupBy("key", "idx").agg(F.count("*").alias("n"))
+    return mni_of_images(overlap(embeddings))
+
+
+def mni_of_images(images: DataFrame) -> DataFrame:
+    """(key, support) from the distinct rows (key, idx, id)."""
+    images = images.groupBy("key", "idx").agg(F.count("*").alias("n"))
     return images.groupBy("key").agg(F.min("n").alias("support"))
 
 
+def star_images(graph: Graph, direction: str = "in") -> DataFrame:
+    """(key, idx, id) of the stars of two edges into one vertex, or out of it: hub, first and second leaf.
+
+    Leaves are in order of label and edge label. No pair of leaves is made, so a hub costs as much as it has edges: a
+    leaf is an image if its hub has another one of the other kind, which the number of those and the least one tell.
+    """
+    hub, leaf = ("targ", "src") if direction == "in" else ("src", "targ")
+    kind = F.concat_ws("|", f"{leaf}_label", "label")
+    edges = graph.labelled_edges().select(F.col(hub).alias("hub"), F.col(f"{hub}_label").alias("hub_label"), F.col(leaf).alias("leaf"), kind.alias("kind"))
+    kinds = cut(edges.groupBy("hub", "hub_label", "kind").agg(F.count("*").alias("n"), F.min("leaf").alias("least")))
+    side = lambda s: kinds.select("hub", "hub_label", *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "least")])
+    pairs = side("a").join(side("b"), ["hub", "hub_label"]).where(F.col("kind_a") <= F.col("kind_b"))
+    other = (F.col("n_a") > 1) | (F.col("n_b") > 1) | (F.col("least_a") != F.col("least_b"))
+    pairs = cut(pairs.where(other).withColumn("key", F.concat_ws("|", "hub_label", "kind_a", "kind_b")))
+    parts = [pairs.select("key", F.lit(0).alias("idx"), F.col("hub").alias("id"))]
+    for idx, (own, far) in enumerate((("a", "b"), ("b", "a")), 1):
+        leaves = edges.join(pairs.select("key", "hub", F.col(f"kind_{own}").alias("kind"), F.col(f"n_{far}").alias("n"), F.col(f"least_{far}").alias("least")), ["hub", "kind"])
+        parts.append(leaves.where((F.col("n") > 1) | (F.col("least") != F.col("leaf"))).select("key", F.lit(idx).alias("idx"), F.col("leaf").alias("id")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def representatives(embeddings: DataFrame) -> DataFrame:
     """(key, id, ids): the least embedding for each image of the position with fewest images, the first such position."""
     images = overlap(embeddings).groupBy("key", "idx").agg(F.count("*").alias("n"))
@@ -210,37 +273,97 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _CHILDREN = "key string, s int, t int, label string, new_label string, child string, order array<int>, first_parent string, n_edges int, n_vertices int"
 
 
-def extensions(embeddings: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, ids, s, t, label, new_label, new_id): every incident edge of every embedding, as an edge between positions.
+def frequent_kinds(images: DataFrame, edges: DataFrame, support: int) -> DataFrame:
+    """(key, idx, out, label, other_label): edges at the images of a position that may be frequent extensions.
 
-    Position size(ids) is a new vertex. Edges of the pattern itself come too; they go when names are compared.
+    Both ends of such an edge have at least ``support`` images, a bound that no metric exceeds; no embedding is read.
+    """
+    parts = []
+    for out, here, there in ((True, "src", "targ"), (False, "targ", "src")):
+        met = images.join(edges, images["id"] == edges[here]).select("key", "idx", "id", F.lit(out).alias("out"), "label", F.col(f"{there}_label").alias("other_label"), F.col(there).alias("other"))
+        kinds = met.groupBy("key", "idx", "out", "label", "other_label").agg(F.countDistinct("id").alias("here"), F.countDistinct("other").alias("there"))
+        parts.append(kinds.where((F.col("here") >= support) & (F.col("there") >= support)).drop("here", "there"))
+    return parts[0].unionByName(parts[1])
+
+
+def extensions(embeddings: DataFrame, edges: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(key, ids, s, t, label, new_label, new_id): incident edges of every embedding, as edges between positions.
+
+    Position size(ids) is a new vertex. Edges of the pattern itself come too; they go when names are compared. With
+    ``kinds`` only edges of these kinds are joined at all.
     """
     at = embeddings.select("key", "ids", F.posexplode("ids").alias("i", "id"))
     size = F.size("ids")
-    out = at.join(edges, at["id"] == edges["src"]).select("key", "ids", F.col("i").alias("s"), "label", F.col("targ").alias("other"), F.col("targ_label").alias("other_label"))
+
+    def met(out: bool) -> DataFrame:
+        here, there = ("src", "targ") if out else ("targ", "src")
+        if kinds is None:
+            rows = at.join(edges, at["id"] == edges[here])
+        else:
+            own = at.join(kinds.where(F.col("out") == out).withColumnRenamed("idx", "i").drop("out"), ["key", "i"])
+            e = edges.withColumnRenamed("label", "edge_label")
+            rows = own.join(e, (F.col("id") == F.col(here)) & (F.col("label") == F.col("edge_label")) & (F.col("other_label") == F.col(f"{there}_label")))
+        return rows.select("key", "ids", "i", "label", F.col(there).alias("other"), F.col(f"{there}_label").alias("other_label"))
+
+    out = met(True).withColumnRenamed("i", "s")
     place = F.array_position("ids", F.col("other")).cast("int")
     out = out.select("key", "ids", "s", F.when(place > 0, place - 1).otherwise(size).alias("t"), "label", F.when(place == 0, F.col("other_label")).alias("new_label"), F.when(place == 0, F.col("other")).alias("new_id"))
-    into = at.join(edges, at["id"] == edges["targ"]).where(~F.array_contains("ids", F.col("src")))
-    into = into.select("key", "ids", size.alias("s"), F.col("i").alias("t"), "label", F.col("src_label").alias("new_label"), F.col("src").alias("new_id"))
+    into = met(False).where(~F.array_contains("ids", F.col("other")))
+    into = into.select("key", "ids", size.alias("s"), F.col("i").alias("t"), "label", F.col("other_label").alias("new_label"), F.col("other").alias("new_id"))
     return out.unionByName(into)
 
 
-def mine(graph: Graph, options: DigraphOptions) -> DigraphLattice:
-    """The lattice of frequent connected subgraphs, level by level, by extending embeddings by one edge."""
-    support = SUPPORTS[options.count_mode]
+def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(key, i, v, len(p.vertices)) for key in pdf["key"] for p in (P.parse(key),) for i, v in enumerate(p.vertices)]
+        yield pd.DataFrame(rows, columns=["key", "idx", "vertex_label", "n"])
+
+
+def kinds_from_triples(patterns: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, s, t, label, new_label): extensions of the patterns (key) by frequent label triples, told from labels alone.
+
+    No embedding is read, so some may have none; counting drops them.
+    """
+    triples = cut(edges.select("src_label", "label", "targ_label").distinct())
+    at = cut(patterns.mapInPandas(_positions, "key string, idx int, vertex_label string, n int"))
+    out = at.join(triples, at["vertex_label"] == triples["src_label"]).select("key", F.col("idx").alias("s"), F.col("n").alias("t"), "label", F.col("targ_label").alias("new_label"))
+    into = at.join(triples, at["vertex_label"] == triples["targ_label"]).select("key", F.col("n").alias("s"), F.col("idx").alias("t"), "label", F.col("src_label").alias("new_label"))
+    a = at.select("key", F.col("idx").alias("s"), F.col("vertex_label").alias("src_label"))
+    b = at.select("key", F.col("idx").alias("t"), F.col("vertex_label").alias("targ_label"))
+    closing = a.join(b, "key").join(triples, ["src_label", "targ_label"]).select("key", "s", "t", "label", F.lit(None).cast("string").alias("new_label"))
+    return out.unionByName(into).unionByName(closing).distinct()
+
+
+def too_large(patterns: DataFrame, options: DigraphOptions) -> DataFrame:
+    """The patterns beyond the greatest size."""
+    return patterns.where((F.col("n_edges") > options.max_edges) | (F.col("n_vertices") > options.max_vertices))
+
+
+def mine(graph: Graph, options: DigraphOptions, metric: Callable[[DataFrame], DataFrame] | None = None) -> DigraphLattice:
+    """The lattice of frequent connected subgraphs, level by level, by extending embeddings by one edge.
+
+    Candidates come from the embeddings, of which only the kinds of edges that may be frequent are joined, or, if
+    ``options.extend_from`` says so, from the frequent label triples. The lattice is the same. ``metric`` replaces the
+    support that ``options`` names; it may not exceed the number of images of any position.
+    """
+    support = metric or SUPPORTS[options.count_mode]
     edges = cut(frequent_edges(graph, options.support))
-    counts = vertex_labels(graph).where(F.col("n") >= options.support)
     name = F.concat(F.lit("{0:1}("), F.regexp_replace("label", r"([()\\])", r"\\$1"), F.lit(")"))
-    singles = graph.vertices.join(counts, "label").select(name.alias("key"), F.array("id").alias("ids"))
-    level = cut(singles)
-    found = [counts.select(name.alias("key"), F.lit(0).alias("n_edges"), F.lit(1).alias("n_vertices"), F.lit(1).alias("level"), F.col("n").alias("support"))]
+    singles = graph.vertices.select(name.alias("key"), F.array("id").alias("ids"))
+    counts = cut(support(singles).where(F.col("support") >= options.support).select("key", "support"))
+    level = cut(singles.join(counts.select("key"), "key", "left_semi"))
+    found = [counts.select("key", F.lit(0).alias("n_edges"), F.lit(1).alias("n_vertices"), F.lit(1).alias("level"), "support")]
     lattice_edges = [found[0].select(F.lit("0:0").alias("parent"), F.col("key").alias("child"), F.lit(True).alias("canonical"))]
     all_embeddings, n = [level], 0
+    known = _edge_known()
     while n < options.max_edges:
-        grown = cut(extensions(level, edges))
-        kinds = grown.select("key", "s", "t", "label", "new_label").distinct()
-        old = _edge_known()
-        kinds = kinds.where(~old(F.col("key"), F.col("s"), F.col("t"), F.col("label")))
+        if options.extend_from == "freq-edges":
+            grown = extensions(level, edges)
+            kinds = kinds_from_triples(found[-1].select("key"), edges)
+        else:
+            grown = cut(extensions(level, edges, cut(frequent_kinds(overlap(level), edges, options.support))))
+            kinds = grown.select("key", "s", "t", "label", "new_label").distinct()
+        kinds = kinds.where(~known(F.col("key"), F.col("s"), F.col("t"), F.col("label")))
         children = cut(kinds.mapInPandas(_children, _CHILDREN).where(F.col("n_vertices") <= options.max_vertices))
         same = [grown[c].eqNullSafe(children[c]) for c in ("key", "s", "t", "label", "new_label")]
         ids = F.when(F.col("new_id").isNotNull(), F.concat("ids", F.array("new_id"))).otherwise(F.col("ids"))
@@ -262,6 +385,31 @@ def mine(graph: Graph, options: DigraphOptions) -> DigraphLattice:
     return DigraphLattice(cut(join(found)), cut(join(lattice_edges)), join(all_embeddings), options)
 
 
+def common_ancestor(spark: SparkSession, patterns: list[P.Pattern]) -> P.Pattern:
+    """The largest pattern that all of a few patterns hold, the first by name of several; the empty one if there is none.
+
+    The patterns become one graph without links between them; the support of a part is the number of them that hold it.
+    """
+    n = len(patterns)
+    if not n or not all(p.vertices for p in patterns):
+        return P.Pattern()
+    vertices = [(f"{g}/{i}", v) for g, p in enumerate(patterns) for i, v in enumerate(p.vertices)]
+    edges = [(f"{g}/{s}", f"{g}/{t}", e) for g, p in enumerate(patterns) for s, t, e in p.edges]
+    graph = Graph(spark.createDataFrame(vertices, "id string, label string"), spark.createDataFrame(edges, "src string, targ string, label string"))
+    holders = lambda rows: rows.groupBy("key").agg(F.countDistinct(F.substring_index(F.get("ids", 0), "/", 1)).alias("support"))
+    found = mine(graph, DigraphOptions(n), holders).patterns
+    row = found.orderBy(F.desc("level"), F.desc("n_vertices"), "key").select("key").first()
+    return P.parse(row["key"]) if row else P.Pattern()
+
+
+def attribute_sets(embeddings: DataFrame, vertices: DataFrame, attribute: str | None = None) -> DataFrame:
+    """(key, labels): the distinct values of an attribute, or the labels, over all vertices of a pattern's embeddings, sorted."""
+    value = F.col("label") if attribute is None else F.col("attrs")[attribute]
+    at = embeddings.select("key", F.explode("ids").alias("id")).distinct()
+    met = at.join(vertices.select("id", value.alias("value")), "id").where(F.col("value").isNotNull())
+    return met.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("labels"))
+
+
 def _edge_known():
     @F.pandas_udf("boolean")
     def known(key: pd.Series, s: pd.Series, t: pd.Series, label: pd.Series) -> pd.Series:

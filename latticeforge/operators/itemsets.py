@@ -50,6 +50,11 @@ def counted(members: DataFrame, support: int) -> DataFrame:
     return members.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
 
 
+def too_large(patterns: DataFrame, options: ItemsetOptions) -> DataFrame:
+    """The patterns beyond the greatest size."""
+    return patterns.where(F.col("size") > options.max_items)
+
+
 @dataclass
 class ItemsetLattice:
     """patterns (key, items, size, level, support), root included; members (items, tx) of all but the root."""

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 
 def inclusion(pr: Column, samples: int) -> Column:
     """Chance that a pattern is among ``samples`` independent draws."""
@@ -16,20 +18,23 @@ def inclusion(pr: Column, samples: int) -> Column:
 def horvitz_thompson(patterns: DataFrame, samples: int, confidence: float = 0.90) -> DataFrame:
     """One row: population, total, mean, and variances and bounds of total and mean. ``patterns`` has pr and y.
 
-    Sampled patterns are joined in pairs for the variances, so their number should be that of a sample.
+    The variances sum over pairs of patterns; those of equal pr and y are one row with their number, and only such rows
+    are joined with each other.
     """
-    rows = patterns.select("pr", "y", inclusion(F.col("pr"), samples).alias("pi")).withColumn("i", F.monotonically_increasing_id())
-    sums = rows.agg(F.sum(1 / F.col("pi")).alias("population"), F.sum(F.col("y") / F.col("pi")).alias("total"))
+    rows = cut(patterns.groupBy("pr", "y").agg(F.count("*").alias("k")).select("pr", "y", "k", inclusion(F.col("pr"), samples).alias("pi")))
+    sums = rows.agg(F.sum(F.col("k") / F.col("pi")).alias("population"), F.sum(F.col("k") * F.col("y") / F.col("pi")).alias("total"))
     sums = sums.withColumn("mean", F.col("total") / F.col("population"))
     means = sums.select("mean")
-    own = lambda y: F.sum((1 - F.col("pi")) / F.pow("pi", F.lit(2)) * F.pow(y, F.lit(2)))
+    own = lambda y: F.sum(F.col("k") * (1 - F.col("pi")) / F.pow("pi", F.lit(2)) * F.pow(y, F.lit(2)))
     centred = F.col("y") - F.col("mean")
     single = rows.crossJoin(F.broadcast(means)).agg(own(F.col("y")).alias("own_total"), own(centred).alias("own_mean"))  # one row
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
     joint = F.col("pi_a") + F.col("pi_b") - (1 - F.pow(1 - F.col("pr_a") - F.col("pr_b"), F.lit(samples)))
     joint = F.when(joint == 0, F.lit(1e-17)).otherwise(joint)
-    pairs = a.join(b, F.col("i_a") != F.col("i_b")).crossJoin(F.broadcast(means)).withColumn("joint", joint)
-    both = (F.col("joint") - F.col("pi_a") * F.col("pi_b")) / (F.col("pi_a") * F.col("pi_b") * F.col("joint"))
+    same = (F.col("pr_a") == F.col("pr_b")) & (F.col("y_a") == F.col("y_b"))
+    times = F.col("k_a") * (F.col("k_b") - F.when(same, 1).otherwise(0))  # no pattern with itself
+    pairs = a.crossJoin(b).crossJoin(F.broadcast(means)).withColumn("joint", joint)
+    both = times * (F.col("joint") - F.col("pi_a") * F.col("pi_b")) / (F.col("pi_a") * F.col("pi_b") * F.col("joint"))
     pair_sums = pairs.agg(
         F.coalesce(F.sum(both * F.col("y_a") * F.col("y_b")), F.lit(0.0)).alias("pair_total"),
         F.coalesce(F.sum(both * (F.col("y_a") - F.col("mean")) * (F.col("y_b") - F.col("mean"))), F.lit(0.0)).alias("pair_mean"),
@@ -61,6 +66,15 @@ def uniformity(prs: DataFrame) -> DataFrame:
     )
 
 
+def extremes(values: DataFrame, item: str, value: str) -> DataFrame:
+    """One row: the items of least and of greatest value (the least item of several), both values, and the sum of all."""
+    low, high = F.min(F.struct(F.col(value).alias("v"), F.col(item).alias("i"))), F.max(F.col(value))
+    top = values.agg(high.alias("m"))
+    first = values.join(F.broadcast(top), F.col(value) == F.col("m")).agg(F.min(item).alias("argmax"))  # one row
+    rest = values.agg(low.alias("l"), high.alias("greatest"), F.sum(value).alias("total"))
+    return rest.crossJoin(F.broadcast(first)).select(F.col("l.i").alias("argmin"), F.col("l.v").alias("least"), "argmax", "greatest", "total")
+
+
 def moments(values: DataFrame, column: str) -> DataFrame:
     """One row: mean (-1 if there are no rows) and variance of the sample."""
     return values.agg(F.coalesce(F.avg(column), F.lit(-1.0)).alias("mean"), F.var_samp(column).alias("variance"))

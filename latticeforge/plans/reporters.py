@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from ..checkpoints import cut
+from ..functions import patterns as P
+from . import walks
 
 Reporter = Callable[[DataFrame], DataFrame]
 
 
 def chain(*reporters: Reporter) -> Callable[[DataFrame], list[DataFrame]]:
-    """A tee: the rows go to every reporter."""
+    """A tee: the rows, written once, go to every reporter. Chains may hold chains."""
 
     def report(rows: DataFrame) -> list[DataFrame]:
-        rows = rows.persist()
-        return [r(rows) for r in reporters]
+        rows = cut(rows)
+        out = [r(rows) for r in reporters]
+        return [x for r in out for x in (r if isinstance(r, list) else [r])]
 
     return report
 
@@ -133,8 +136,6 @@ def jaccard_pairs(sets: DataFrame, epsilon: float, key: str = "key", items: str
 
 def components(nodes: DataFrame, links: DataFrame, key: str = "key") -> DataFrame:
     """(key, cluster): single-link clusters, named by their least key; labels spread and jump until none changes."""
-    from ..checkpoints import cut
-
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")))
     labels = cut(nodes.select(key, F.col(key).alias("cluster")))
     while True:
@@ -159,6 +160,101 @@ def dbscan(patterns: DataFrame, epsilon: float = 0.2, key: str = "key", labels:
     return clusters.join(groups, key)
 
 
+def cluster_metrics(clusters: DataFrame, sets: DataFrame, seed: int = 1, key: str = "key", items: str = "items", most: int = 20_000) -> DataFrame:
+    """One row about clusters (key, cluster) of patterns by the Jaccard distance of their sets (key, items).
+
+    intra and inter sum, over clusters and pairs of clusters, the distances of pairs inside and across, divided by the
+    sizes; correlation is that of a pair's distance with its being inside one. The same follow for patterns dealt to as
+    many clusters by hashed numbers (random_...), and the differences (difference_...). All pairs are compared, so
+    there may be ``most`` patterns.
+    """
+    named = cut(clusters.select(key, F.col("cluster").alias("c")).join(sets.select(key, items), key))
+    n = named.count()
+    if n > most:
+        raise ValueError(f"{n} patterns; pairs of at most {most} are compared")
+    groups = named.select("c").distinct().count()
+    dealt = F.floor(walks.hashed(seed, key) * groups).cast("string")
+    named = cut(named.withColumn("r", dealt))
+    side = lambda s: named.select(F.col(key).alias(f"key_{s}"), F.col(items).alias(f"items_{s}"), F.col("c").alias(f"c_{s}"), F.col("r").alias(f"r_{s}"))
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    either = F.size(F.array_union("items_a", "items_b"))
+    pairs = side("a").join(side("b"), F.col("key_a") < F.col("key_b")).withColumn("d", F.when(either == 0, 0.0).otherwise(1 - both / either))
+    parts = [named.agg(F.count("*").alias("items"), F.countDistinct("c").alias("clusters"), F.countDistinct("r").alias("random_clusters"))]
+    for name, prefix in (("c", ""), ("r", "random_")):
+        size = lambda s, name=name: named.groupBy(F.col(name).alias(f"{name}_{s}")).agg(F.count("*").alias(f"n_{s}"))
+        sized = pairs.join(size("a"), f"{name}_a").join(size("b"), f"{name}_b")
+        inside = F.col(f"{name}_a") == F.col(f"{name}_b")
+        parts.append(
+            sized.agg(
+                F.coalesce(F.sum(F.when(inside, F.col("d") / F.col("n_a"))), F.lit(0.0)).alias(f"{prefix}intra"),
+                F.coalesce(F.sum(F.when(~inside, F.col("d") / (F.col("n_a") * F.col("n_b")))), F.lit(0.0)).alias(f"{prefix}inter"),
+                F.corr("d", inside.cast("double")).alias(f"{prefix}correlation"),
+            )
+        )
+    out = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+    for prefix in ("", "random_"):
+        out = out.withColumn(f"{prefix}ratio", F.col(f"{prefix}intra") / F.nullif(F.col(f"{prefix}inter"), F.lit(0.0)))
+    for name in ("clusters", "intra", "inter", "correlation", "ratio"):
+        out = out.withColumn(f"difference_{name}", F.abs(F.col(name) - F.col(f"random_{name}")))
+    return out
+
+
+def embedding_dots(embeddings: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(key, ids, dot): each embedding as a DOT graph whose nodes bear the graph's ids and attributes.
+
+    A vertex is shown by its label, and by attribute start_line where it has one.
+    """
+    attrs = F.col("attrs") if "attrs" in vertices.columns else F.create_map().cast("map<string,string>")
+    at = embeddings.select("key", "ids", F.posexplode("ids").alias("i", "id")).join(vertices.select("id", attrs.alias("attrs")), "id", "left")
+    rows = at.groupBy("key", "ids").agg(F.array_sort(F.collect_list(F.struct("i", F.to_json("attrs").alias("attrs")))).alias("x"))
+
+    @F.pandas_udf("string")
+    def dot(keys, ids, attrs):
+        import json
+
+        import pandas as pd
+
+        return pd.Series([P.embedding_dot(P.parse(k), list(i), [json.loads(x["attrs"] or "{}") for x in a]) for k, i, a in zip(keys, ids, attrs, strict=True)])
+
+    return rows.select("key", "ids", dot("key", "ids", "x").alias("dot"))
+
+
+def file_report(folder: str, patterns: DataFrame, names: DataFrame, embeddings: DataFrame | None = None, matrices: DataFrame | None = None, probabilities: DataFrame | None = None) -> None:
+    """The artefacts of a run as text, one folder each: patterns (line), names.txt (key), embeddings (line), matrices.json
+    (json) and probabilities.prs (pr, key), a line ``pr, name`` each."""
+    artefacts = {"patterns": patterns.select("line"), "names.txt": names.select("key")}
+    if embeddings is not None:
+        artefacts["embeddings"] = embeddings.select("line")
+    if matrices is not None:
+        artefacts["matrices.json"] = matrices.select("json")
+    if probabilities is not None:
+        artefacts["probabilities.prs"] = probabilities.select(F.concat_ws(", ", F.col("pr").cast("string"), "key").alias("line"))
+    write_reports(artefacts, folder, "text")
+
+
+def dir_report(folder: str, samples: DataFrame, embeddings: DataFrame | None = None) -> None:
+    """A numbered folder for each sample (sample, key, pattern[, pr, matrices]) with its name, pattern, count of embeddings,
+    matrices and probability, one for each of its embeddings (sample, embedding, text), and the count of all."""
+    number = {"key": "pattern.name", "pattern": "pattern", "pr": "pattern.pr", "matrices": "matrices.json"}
+    for column, name in number.items():
+        if column in samples.columns:
+            rows = samples.select("sample", F.col(column).cast("string").alias("value")).where("value IS NOT NULL")
+            rows.write.mode("overwrite").partitionBy("sample").text(f"{folder}/{name}")
+    if embeddings is not None:
+        counts = embeddings.groupBy("sample").agg(F.count("*").cast("string").alias("value"))
+        counts.write.mode("overwrite").partitionBy("sample").text(f"{folder}/embeddings")
+        embeddings.select("sample", "embedding", F.col("text").alias("value")).write.mode("overwrite").partitionBy("sample", "embedding").text(f"{folder}/embedding")
+    count(samples).select(F.col("count").cast("string")).write.mode("overwrite").text(f"{folder}/count")
+
+
+def collector(rows: DataFrame, most: int = 100_000) -> list:
+    """The rows as a list in memory, ``most`` at most; more are an error, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return found
+
+
 def write_reports(rows: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
     """One sub-folder for each artefact: patterns, embeddings, names, matrices, probabilities and so on."""
     for name, df in rows.items():

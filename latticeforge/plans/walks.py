@@ -97,6 +97,28 @@ def unisorb(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     return normalised(_down(edges.where("canonical")).join(leaves, "v").select("u", "v", "weight"))
 
 
+def draw(rows: DataFrame, n: int, seed: int, key: str, replace: bool = False, weight: str | None = None) -> DataFrame:
+    """``n`` rows by hashed numbers: without repeats, all rows at most, or with ``replace``; ``weight`` makes some likelier.
+
+    Without repeats rows are ordered by -log(x) / weight, which draws by weight one after another. With repeats draw k takes
+    the row whose part of the cumulative weights holds its number; rows are then numbered in one task.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if not replace:
+        return rows.where(w > 0).orderBy(-F.log(F.greatest(hashed(seed, key), F.lit(1e-300))) / w, key).limit(n)
+    upto = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.where(w > 0).withColumn("high_", F.sum(w).over(upto)).withColumn("low_", F.col("high_") - w)
+    total = parts.agg(F.max("high_").alias("total_"))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), hashed(seed, "id").alias("x_")).crossJoin(F.broadcast(total))  # one row
+    at = F.col("x_") * F.col("total_")
+    return draws.join(parts, (F.col("low_") <= at) & (at < F.col("high_"))).drop("x_", "total_", "low_", "high_")
+
+
+def permutation(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """``rows`` with ``place``, their place from 0 in an order by hashed numbers."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(hashed(seed, key), key)) - 1)
+
+
 def uniprox(patterns: DataFrame, edges: DataFrame, minimum_level: int = 0) -> DataFrame:
     """Down the canonical tree by depth times diameter of the subtree, exact as the tree is materialised.
 

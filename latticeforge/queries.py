@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, scratch
 from .functions import patterns as P
 from .operators import digraphs, itemsets, lattices
 from .operators.digraphs import Graph
 from .options import DigraphOptions, ItemsetOptions
-from .plans import estimates, reporters, walks
+from .plans import estimates, modes, reporters, walks
 from .sources import graphs, transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +111,7 @@ def itemset_pairs(spark, d):
 
 @query(EL_SQL + "SELECT key, size, level, support::BIGINT AS support FROM pat")
 def itemset_levels(spark, d):
-    """MINE-1, MINE-2, LAT-1, LAT-9: the whole lattice of event types, root included."""
+    """MINE-1, LAT-1, LAT-9: the whole lattice of event types, root included."""
     return _events(spark, d).patterns.select("key", "size", "level", "support")
 
 
@@ -344,13 +345,25 @@ def reporter_log(spark, d):
     return reporters.log_lines("found")(rows)
 
 
-@query()
+@query(
+    EL_SQL
+    + """, nodes AS (SELECT a.key, b.key AS node FROM pat a JOIN pat b ON list_has_all(a.items, b.items) WHERE a.size = 3),
+num AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY node) - 1 AS i FROM nodes WHERE node <> key),
+e AS (SELECT n.key, parent, child, count(*) OVER (PARTITION BY n.key, parent) AS kids FROM nodes n JOIN edge ON edge.parent = n.node JOIN nodes m ON m.key = n.key AND m.node = edge.child)
+SELECT e.key, CASE WHEN c.i IS NULL THEN 'R' ELSE 'Q' END AS matrix, r.i::BIGINT AS row, coalesce(c.i, 0)::BIGINT AS col, round(1.0::DOUBLE / kids, 9) AS value, kids::BIGINT AS inverse
+FROM e JOIN num r ON r.key = e.key AND r.node = e.parent LEFT JOIN num c ON c.key = e.key AND c.node = e.child"""
+)
 def graple_matrices(spark, d):
-    """SNK-11, SMP-10: sparse matrices of the triples' sub-lattices, one JSON line each; the tests solve them."""
+    """SNK-11, SMP-10: entries of the sparse matrices of the triples' sub-lattices, read back from their JSON lines."""
     lattice = _events(spark, d)
     edges = cut(lattice.edges())
     nodes = lattices.sublattice(edges, lattice.patterns.where("size = 3").select("key"))
-    return reporters.matrices(nodes, lattices.sublattice_edges(edges, nodes))
+    matrix = "struct<Rows:long,Cols:long,Entries:array<struct<Row:long,Col:long,Value:double,Inverse:long>>>"
+    body = F.from_json("json", f"struct<Name:string,Q:{matrix},R:{matrix}>")
+    rows = reporters.matrices(nodes, lattices.sublattice_edges(edges, nodes)).select(body.alias("m"))
+    entries = [rows.select(F.col("m.Name").alias("key"), F.lit(x).alias("matrix"), F.explode(f"m.{x}.Entries").alias("e")) for x in "QR"]
+    rows = entries[0].union(entries[1])
+    return rows.select("key", "matrix", F.col("e.Row").alias("row"), F.col("e.Col").alias("col"), F.round("e.Value", 9).alias("value"), F.col("e.Inverse").alias("inverse"))
 
 
 _SETS = "SELECT user_id::VARCHAR AS key, list_sort(list_distinct(list(event_type || ':' || floor(value / 20)::INT::VARCHAR))) AS items FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id"
@@ -369,9 +382,9 @@ def dbscan_pairs(spark, d):
     return reporters.jaccard_pairs(_user_sets(spark, d), 0.2, items="labels").select("a", "b", F.round("distance", 9).alias("distance"))
 
 
-@query()
+@query("WITH RECURSIVE s AS (" + _SETS + "), p AS (SELECT a.key AS a, b.key AS b FROM s a JOIN s b ON a.key <> b.key AND 1 - len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))::DOUBLE <= 0.2 + 1e-12), r AS (SELECT key, key AS other FROM s UNION SELECT r.key, p.b FROM r JOIN p ON p.a = r.other) SELECT key, min(other) AS cluster FROM r GROUP BY key")
 def dbscan_clusters(spark, d):
-    """REP-6, REP-7: single-link clusters of users; the tests compare with brute force."""
+    """REP-6: single-link clusters of users."""
     return reporters.dbscan(_user_sets(spark, d), 0.2)
 
 
@@ -421,18 +434,15 @@ def graph_edge_triples(spark, d):
 
 @query(G_SQL + "SELECT id, (SELECT count(*) FROM e WHERE src = id)::BIGINT AS out_degree, (SELECT count(*) FROM e WHERE targ = id)::BIGINT AS in_degree FROM v")
 def graph_degrees(spark, d):
-    """SRC-10, FLT-9."""
+    """SRC-10."""
     return digraphs.degrees(star_graph(spark, d))
 
 
-@query(G_SQL + ", k AS (SELECT * FROM v WHERE regexp_matches(label, '(URGENT)|(A)') AND NOT regexp_matches(label, 'MACHINERY')) SELECT src, targ, label FROM e WHERE src IN (SELECT id FROM k) AND targ IN (SELECT id FROM k) AND regexp_matches(label, '(placed)|(^in$)')")
+@query(G_SQL + ", k AS (SELECT * FROM v WHERE regexp_matches(label, '(URGENT)|(A)|(^placed)|(^in$)') AND NOT regexp_matches(label, 'MACHINERY')) SELECT src, targ, label FROM e WHERE src IN (SELECT id FROM k) AND targ IN (SELECT id FROM k) AND regexp_matches(label, '(URGENT)|(A)|(^placed)|(^in$)')")
 def graph_include_exclude(spark, d):
     """SRC-8, FN-7: edges left by label filters."""
     graph = star_graph(spark, d)
-    kept = graphs.filter_labels(Graph(graph.vertices, graph.edges.where(F.col("label").rlike("(placed)|(^in$)"))), (), ())
-    vertices = graphs.filter_labels(Graph(kept.vertices, kept.edges.limit(0)), ("URGENT", "A"), ("MACHINERY",)).vertices
-    ids = vertices.select("id")
-    return kept.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "targ"), "targ", "left_semi").select("src", "targ", "label")
+    return graphs.filter_labels(graph, ("URGENT", "A", "^placed", "^in$"), ("MACHINERY",)).edges
 
 
 @query(G_SQL + "SELECT 'v' AS kind, id, label, '' AS targ FROM v UNION ALL SELECT 'e', src, label, targ FROM e")
@@ -457,19 +467,13 @@ def graph_dense_ids(spark, d):
     return graphs.dense_ids(star_graph(spark, d)).edges
 
 
-def _paths(graph: Graph, shape: str) -> DataFrame:
-    """Embeddings (key, ids) of two edges: a path, or a star whose leaves are in order of label, then id."""
+def _paths(graph: Graph) -> DataFrame:
+    """Embeddings (key, ids) of paths of two edges."""
     e = graph.labelled_edges()
     a = e.select(*[F.col(c).alias(f"{c}_a") for c in e.columns])
     b = e.select(*[F.col(c).alias(f"{c}_b") for c in e.columns])
-    if shape == "path":
-        rows = a.join(b, F.col("targ_a") == F.col("src_b")).where("src_a <> targ_b")
-        return rows.select(F.concat_ws("|", "src_label_a", "label_a", "targ_label_a", "label_b", "targ_label_b").alias("key"), F.array("src_a", "targ_a", "targ_b").alias("ids"))
-    hub, leaf = ("src", "targ") if shape == "out" else ("targ", "src")
-    ordered = F.concat_ws("|", f"{leaf}_label_a", "label_a") <= F.concat_ws("|", f"{leaf}_label_b", "label_b")
-    rows = a.join(b, F.col(f"{hub}_a") == F.col(f"{hub}_b")).where((F.col(f"{leaf}_a") != F.col(f"{leaf}_b")) & ordered)
-    key = F.concat_ws("|", f"{hub}_label_a", f"{leaf}_label_a", "label_a", f"{leaf}_label_b", "label_b")
-    return rows.select(key.alias("key"), F.array(f"{hub}_a", f"{leaf}_a", f"{leaf}_b").alias("ids"))
+    rows = a.join(b, F.col("targ_a") == F.col("src_b")).where("src_a <> targ_b")
+    return rows.select(F.concat_ws("|", "src_label_a", "label_a", "targ_label_a", "label_b", "targ_label_b").alias("key"), F.array("src_a", "targ_a", "targ_b").alias("ids"))
 
 
 @query(G_SQL + "SELECT concat_ws('|', sl, label, tl) AS key, least(count(DISTINCT src), count(DISTINCT targ))::BIGINT AS support FROM le GROUP BY 1")
@@ -482,7 +486,7 @@ def mni_edge(spark, d):
 @query(G_SQL + "SELECT concat_ws('|', a.sl, a.label, a.tl, b.label, b.tl) AS key, least(count(DISTINCT a.src), count(DISTINCT a.targ), count(DISTINCT b.targ))::BIGINT AS support FROM le a JOIN le b ON a.targ = b.src AND a.src <> b.targ GROUP BY 1")
 def mni_path2(spark, d):
     """AGG-2, JOIN-4, JOIN-5: minimum images of paths of two edges."""
-    return digraphs.mni(_paths(star_graph(spark, d), "path"))
+    return digraphs.mni(_paths(star_graph(spark, d)))
 
 
 _STAR = "SELECT concat_ws('|', a.{1}l, a.{0}l, a.label, b.{0}l, b.label) AS key, least(count(DISTINCT a.{3}), count(DISTINCT a.{2}), count(DISTINCT b.{2}))::BIGINT AS support FROM le a JOIN le b ON a.{3} = b.{3} AND a.{2} <> b.{2} AND a.{0}l || '|' || a.label <= b.{0}l || '|' || b.label GROUP BY 1"
@@ -491,13 +495,27 @@ _STAR = "SELECT concat_ws('|', a.{1}l, a.{0}l, a.label, b.{0}l, b.label) AS key,
 @query(G_SQL + _STAR.format("s", "t", "src", "targ"))
 def mni_in_star2(spark, d):
     """AGG-2: minimum images of two edges into one vertex."""
-    return digraphs.mni(_paths(star_graph(spark, d), "in"))
+    return digraphs.mni_of_images(digraphs.star_images(star_graph(spark, d), "in"))
+
+
+def supply_graph(spark, d) -> Graph:
+    """Orders and the suppliers of their lines: stars out of every order of several suppliers."""
+    o, s, lines = (_t(spark, d, x) for x in ("orders", "supplier", "lineitem"))
+    vertices = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
+    vertices = vertices.union(s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("supplier"), F.col("s_nationkey") % 5)))
+    edges = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("targ"), F.concat(F.lit("by"), F.col("l_linenumber") % 2).alias("label"))
+    return Graph(vertices, edges)
+
+
+_SUPPLY_SQL = """WITH v AS (SELECT 'o' || o_orderkey AS id, o_orderpriority AS label FROM orders UNION ALL SELECT 's' || s_suppkey, 'supplier' || s_nationkey % 5 FROM supplier),
+le AS (SELECT e.*, a.label AS sl, b.label AS tl FROM (SELECT DISTINCT 'o' || l_orderkey AS src, 's' || l_suppkey AS targ, 'by' || l_linenumber % 2 AS label FROM lineitem) e JOIN v a ON a.id = src JOIN v b ON b.id = targ)
+"""
 
 
-@query(G_SQL + _STAR.format("t", "s", "targ", "src"))
+@query(_SUPPLY_SQL + _STAR.format("t", "s", "targ", "src"))
 def mni_out_star2(spark, d):
     """AGG-2: minimum images of two edges from one vertex."""
-    return digraphs.mni(_paths(star_graph(spark, d), "out"))
+    return digraphs.mni_of_images(digraphs.star_images(supply_graph(spark, d), "out"))
 
 
 @query(G_SQL + "SELECT a.src AS o, a.targ AS c, b.targ AS n FROM le a JOIN le b ON a.targ = b.src WHERE a.sl = '1-URGENT' AND a.label = 'placed_by' AND a.tl = 'BUILDING' AND b.label = 'in' AND b.tl = (SELECT n_name FROM nation WHERE n_nationkey = 3)")
@@ -580,7 +598,7 @@ def fis_components(spark, d):
     return digraphs.fis(_hub_embeddings(spark, d))
 
 
-@query()
+@query("SELECT '{3:4}(1-URGENT)(BUILDING)(' || n_name || ')(X)[0->1:placed_by][1->2:in][2->3:of]' AS pattern, 2 / 3.0::DOUBLE AS share, '{2:3}(1-URGENT)(BUILDING)(' || n_name || ')[0->1:placed_by][1->2:in]' AS matched FROM nation WHERE n_nationkey = 3")
 def estimate_match(spark, d):
     """JOIN-9, JOIN-10: share of a pattern's edges that embed; the last edge cannot, as nothing leaves a region."""
     nation = _t(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
@@ -592,11 +610,14 @@ def estimate_match(spark, d):
 @query()
 def walk_metric(spark, d):
     """FN-4, MINE-4: distances of all pairs of frequent two-edge patterns."""
-    rows = _event_lattice(spark, d).patterns.where("n_edges = 2").select("key")
+    rows = cut(_event_lattice(spark, d).patterns.where("n_edges = 2").select("key"))
+    if rows.count() > 2_000:
+        raise ValueError("pairs of at most 2000 patterns are compared")
 
-    @F.udf("double")
+    @F.pandas_udf("double")
     def distance(a, b):
-        return round(P.walk_distance(P.parse(a), P.parse(b)), 9)
+        known = {k: P.parse(k) for k in {*a, *b}}
+        return pd.Series([round(P.walk_distance(known[x], known[y]), 9) for x, y in zip(a, b, strict=True)])
 
     return rows.select(F.col("key").alias("a")).join(rows.select(F.col("key").alias("b")), F.col("a") < F.col("b")).select("a", "b", distance("a", "b").alias("distance"))
 
@@ -614,13 +635,15 @@ j AS (SELECT a.y AS ya, b.y AS yb, (a.pi + b.pi - (1 - pow(1 - a.pr - b.pr, 25))
 SELECT round(n, 6) AS population, round(t, 6) AS total, round(t / n, 6) AS mean,
   round((SELECT sum((1 - pi) / pow(pi, 2) * pow(y, 2)) FROM p) + (SELECT sum(w * ya * yb) FROM j), 4) AS var_total,
   round(((SELECT sum((1 - pi) / pow(pi, 2) * pow(y - mean, 2)) FROM p, m) + (SELECT sum(w * (ya - mean) * (yb - mean)) FROM j, m)) / pow(n, 2), 6) AS var_mean FROM s"""
+#: The quantile of Student's t for 24 degrees of freedom and 0.95, from a table.
+_HT = f"SELECT *, round(total - 1.7108820799 * sqrt(greatest(var_total, 0)), 2) AS total_low, round(total + 1.7108820799 * sqrt(greatest(var_total, 0)), 2) AS total_high, round(mean - 1.7108820799 * sqrt(greatest(var_mean, 0)), 3) AS mean_low, round(mean + 1.7108820799 * sqrt(greatest(var_mean, 0)), 3) AS mean_high FROM ({_HT})"
 
 
 @query(_HT)
 def ht_estimates(spark, d):
     """AGG-14, AGG-15, AGG-16: population, total and mean from inclusion chances."""
     row = estimates.horvitz_thompson(_sampled(spark, d), 25)
-    return row.select(*[F.round(c, 6).alias(c) for c in ("population", "total", "mean")], F.round("var_total", 4).alias("var_total"), F.round("var_mean", 6).alias("var_mean"))
+    return row.select(*[F.round(c, 6).alias(c) for c in ("population", "total", "mean")], F.round("var_total", 4).alias("var_total"), F.round("var_mean", 6).alias("var_mean"), *[F.round(f"total_{x}", 2).alias(f"total_{x}") for x in ("low", "high")], *[F.round(f"mean_{x}", 3).alias(f"mean_{x}") for x in ("low", "high")])
 
 
 @query("WITH t AS (SELECT user_id, count(*) / (SELECT count(*) FROM events)::DOUBLE AS pr FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM t) SELECT max(n)::BIGINT AS n, count(*) FILTER (pr > 0)::BIGINT AS non_zero, round(1.0::DOUBLE / max(n), 9) AS expected, round(sum(pr), 9) AS total, round(avg(pr), 9) AS mean, round(stddev_pop(pr), 9) AS std, round(quantile_cont(pr, 0.5), 9) AS median, round(min(pr), 9) AS least, round(max(pr), 9) AS most, round(sqrt(sum(pow(pr - 1.0::DOUBLE / n, 2))), 9) AS stderr FROM t, n")
@@ -632,8 +655,340 @@ def uniformity_stats(spark, d):
     return row.select("n", "non_zero", *[F.round(c, 9).alias(c) for c in ("expected", "total", "mean", "std", "median", "least", "most", "stderr")])
 
 
-@query("WITH c AS (SELECT event_type, count(*) AS o FROM events GROUP BY 1), t AS (SELECT sum(o) / count(*)::DOUBLE AS e, count(*) - 1 AS df FROM c) SELECT round(sum(pow(o - e, 2) / e), 6) AS statistic, max(df)::BIGINT AS df FROM c, t")
+@query("WITH c AS (SELECT event_type, count(*) AS o FROM events GROUP BY 1), t AS (SELECT sum(o) / count(*)::DOUBLE AS e, count(*) - 1 AS df FROM c) SELECT round(x, 6) AS statistic, df::BIGINT AS df, round(exp(-x / 2) * (SELECT sum(pow(x / 2, k) / factorial(k::INT)) FROM range((df // 2)::BIGINT) r(k)), 6) AS p_value FROM (SELECT sum(pow(o - e, 2) / e) AS x, max(df) AS df FROM c, t)")
 def chi_square(spark, d):
-    """AGG-18: event types against equal counts."""
+    """AGG-18: event types against equal counts; the chance has a closed form as the degrees of freedom are even."""
     counts = _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("observed"))
-    return estimates.chi_square(counts).select(F.round("statistic", 6).alias("statistic"), "df")
+    return estimates.chi_square(counts).select(F.round("statistic", 6).alias("statistic"), "df", F.round("p_value", 6).alias("p_value"))
+
+
+# Further sources and sinks ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*)::BIGINT AS items, sum(l_partkey)::BIGINT AS total, count(DISTINCT l_orderkey)::BIGINT AS transactions, count(DISTINCT l_orderkey)::BIGINT AS lines FROM lineitem")
+def src_open_files(spark, d):
+    """SRC-1, SRC-2, SET-4: a folder of gzip files of integer lines, written, opened and numbered."""
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
+    lines = lines.select(F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("value"))
+    with scratch(spark) as path:
+        lines.write.option("compression", "gzip").text(path)
+        rows = transactions.read_int_transactions(spark, path)
+        return cut(rows.agg(F.count("*").alias("items"), F.sum("item").cast("long").alias("total"), F.countDistinct("tx").alias("transactions"), (F.max("tx") + 1).alias("lines")))
+
+
+def _dot_files(spark, d) -> DataFrame:
+    """A DOT text for each region, with its nations; regions are only named by edges."""
+    n = _t(spark, d, "nation")
+    node = F.concat(F.lit('n'), "n_nationkey", F.lit(' [label="'), "n_name", F.lit('", rank='), F.col("n_nationkey") % 3, F.lit("];"))
+    edge = F.concat(F.lit("n"), "n_nationkey", F.lit(" -> r"), "n_regionkey", F.lit(' [label="of"];'))
+    body = F.array_join(F.sort_array(F.collect_list(F.concat(node, F.lit(" "), edge))), " ")
+    texts = n.groupBy("n_regionkey").agg(F.concat(F.lit("digraph g {"), body, F.lit(" subgraph s { a -> b; } }")).alias("value"))
+    return texts.select(F.col("n_regionkey").cast("string").alias("path"), "value")
+
+
+_DOT_SQL = "SELECT 'v' AS kind, 'n' || n_nationkey AS id, n_name AS label, (n_nationkey % 3)::VARCHAR AS targ FROM nation UNION ALL SELECT DISTINCT 'v', 'r' || n_regionkey, 'r' || n_regionkey, NULL FROM nation UNION ALL SELECT 'e', 'n' || n_nationkey, 'of', 'r' || n_regionkey FROM nation"
+
+
+@query(_DOT_SQL)
+def src_dot(spark, d):
+    """SRC-7: DOT texts, subgraphs skipped, vertices of edges made."""
+    graph = graphs.parse_dot(_dot_files(spark, d))
+    v = graph.vertices.select(F.lit("v").alias("kind"), "id", "label", F.col("attrs")["rank"].alias("targ"))
+    return v.union(graph.edges.select(F.lit("e"), F.col("src"), "label", "targ"))
+
+
+@query(_DOT_SQL)
+def dot_to_veg(spark, d):
+    """SNK-7, SRC-5: DOT texts as veg text, read again."""
+    graph = graphs.parse_veg(graphs.veg_lines(graphs.parse_dot(_dot_files(spark, d))))
+    v = graph.vertices.select(F.lit("v").alias("kind"), "id", "label", F.col("attrs")["rank"].alias("targ"))
+    return v.union(graph.edges.select(F.lit("e"), F.col("src"), "label", "targ"))
+
+
+@query("SELECT 'n' || n_nationkey AS id, n_name AS label, n_name || '\\nfile.go:' || n_regionkey AS original FROM nation")
+def clean_labels(spark, d):
+    """SNK-9: labels cut at their first escaped line break; the whole one kept as an attribute."""
+    n = _t(spark, d, "nation")
+    label = F.concat("n_name", F.lit("\\nfile.go:"), "n_regionkey")
+    graph = Graph(n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), label.alias("label")), spark.createDataFrame([], "src string, targ string, label string"))
+    return graphs.shorten_labels(graph).vertices.select("id", "label", F.col("attrs")["original_label"].alias("original"))
+
+
+@query("SELECT event_type AS pattern, (arg_min(event_id, event_id) % 10 / 10.0)::DOUBLE AS pr, (SELECT count(*) FROM events)::BIGINT AS lines FROM events GROUP BY event_type")
+def src_probabilities(spark, d):
+    """SRC-13: lines of pr, pattern; the first line of a pattern counts, all lines are counted."""
+    events = _t(spark, d, "events")
+    lines = events.select(F.col("event_id").alias("line"), F.concat((F.col("event_id") % 10 / 10.0).cast("string"), F.lit(", "), "event_type").alias("value"))
+    rows, n = graphs.read_probabilities(lines)
+    return rows.select("pattern", "pr", F.lit(n).cast("long").alias("lines"))
+
+
+@query(EL_SQL + "SELECT 'names.txt' AS artefact, count(*)::BIGINT AS lines, sum(length(key))::BIGINT AS chars FROM pat WHERE size > 0 UNION ALL SELECT 'patterns', count(*), sum(length(key) + CASE WHEN kids = 0 THEN 10 ELSE 0 END) FROM deg WHERE key <> '' UNION ALL SELECT 'probabilities.prs', count(*), sum(length(key) + 5) FROM pat WHERE size > 0")
+def reporter_file(spark, d):
+    """SNK-1: the artefacts of a run, written and read again."""
+    lattice = _events(spark, d)
+    some = lattice.patterns.where("size > 0")
+    with scratch(spark) as path:
+        reporters.file_report(path, reporters.itemset_lines(lattice.patterns, lattice.edges()).where("key <> ''"), some, probabilities=some.withColumn("pr", F.lit(0.5)))
+        read = lambda n: spark.read.text(f"{path}/{n}").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars")).select(F.lit(n).alias("artefact"), "lines", "chars")
+        return cut(read("names.txt").union(read("patterns")).union(read("probabilities.prs")))
+
+
+@query(EL_SQL + ", n AS (SELECT key, support, (row_number() OVER (ORDER BY key) - 1)::INT AS sample FROM pat WHERE size = 4) SELECT sample, key AS name, support::BIGINT AS embeddings, (SELECT count(*) FROM n)::BIGINT AS all_samples FROM n")
+def reporter_dir(spark, d):
+    """SNK-2: a folder for each sample, written and read again."""
+    from pyspark.sql import Window
+
+    lattice = _events(spark, d)
+    samples = lattice.patterns.where("size = 4").withColumn("sample", F.row_number().over(Window.orderBy("key")) - 1).withColumn("pattern", F.col("key"))
+    txs = lattice.tx_lists().join(samples.select("key", "sample"), "key").select("sample", F.posexplode("txs").alias("embedding", "text"))
+    with scratch(spark) as path:
+        reporters.dir_report(path, samples.select("sample", "key", "pattern"), txs.where("embedding < 2"))
+        names = spark.read.text(f"{path}/pattern.name").select(F.col("sample").cast("int").alias("sample"), F.col("value").alias("name"))
+        counts = txs.groupBy("sample").agg(F.count("*").alias("embeddings"))
+        n = spark.read.text(f"{path}/count").first()["value"]
+        return cut(names.join(counts, "sample").select("sample", "name", "embeddings", F.lit(int(n)).cast("long").alias("all_samples")))
+
+
+@query("SELECT 'n' || n_nationkey AS id, 'digraph embedding {' || chr(10) || '  \"n' || n_nationkey || '\" [label=\"N\\\\n' || n_nationkey || '\", \"start_line\"=\"' || n_nationkey || '\"];' || chr(10) || '  \"r' || n_regionkey || '\" [label=\"R\"];' || chr(10) || '  \"n' || n_nationkey || '\" -> \"r' || n_regionkey || '\" [label=\"of\"];' || chr(10) || '}' || chr(10) AS dot FROM nation".replace("\\\\n", "\\n"))
+def embedding_dots(spark, d):
+    """SNK-6, FN-5, FN-6, JOIN-13: embeddings as DOT with the attributes of their vertices."""
+    graph = nation_graph(spark, d)
+    rows = digraphs.find_embeddings(graph, P.Pattern(("N", "R"), ((0, 1, "of"),)))
+    attrs = graph.vertices.select("id", F.when(F.col("label") == "N", F.create_map(F.lit("start_line"), F.substring("id", 2, 9))).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"))
+    dots = reporters.embedding_dots(rows.select(F.lit("{1:2}(N)(R)[0->1:of]").alias("key"), F.array("v0", "v1").alias("ids")), attrs)
+    return dots.select(F.get("ids", 0).alias("id"), "dot")
+
+
+# Further mining -----------------------------------------------------------------------------------------------------------
+
+
+@query(EL_SQL + "SELECT key, support::BIGINT AS support FROM pat")
+def itemset_vsigram(spark, d):
+    """MINE-2: the lattice through canonical children only."""
+    return modes.vsigram(modes.Lattice.of_itemsets(_events(spark, d))).select("key", "support")
+
+
+def _beam_sql(queue: int) -> str:
+    sql = EL_SQL + ", q1 AS (SELECT key AS start, key FROM pat WHERE size = 1)"
+    for k in range(2, 6):
+        sql += f", q{k} AS (SELECT start, child AS key FROM q{k - 1} q JOIN edge ON edge.parent = q.key WHERE canonical QUALIFY row_number() OVER (PARTITION BY start ORDER BY ('0x' || substr(md5('1|' || child), 1, 8))::BIGINT DESC, child) <= {queue})"
+    union = " UNION ".join(f"SELECT key FROM q{k}" for k in range(1, 6))
+    return sql + f" SELECT key, support::BIGINT AS support FROM pat SEMI JOIN ({union}) USING (key)"
+
+
+@query(_beam_sql(2))
+def itemset_qsplor(spark, d):
+    """MINE-3, MINE-4: the best two of each level and start by hashed scores."""
+    return modes.qsplor(modes.Lattice.of_itemsets(_events(spark, d)), 2, seed=1).select("key", "support")
+
+
+@query(EL_SQL + "SELECT (SELECT count(*) FROM pat)::BIGINT + (SELECT count(*) FROM edge)::BIGINT AS n")
+def index_speed(spark, d):
+    """MINE-5: rows of the loaded and indexed tables."""
+    lattice = _events(spark, d)
+    return spark.createDataFrame([(modes.index_speed(lattice.patterns, lattice.edges()),)], "n long")
+
+
+@query(EL_SQL + "SELECT key FROM pat WHERE size > 3")
+def itemset_too_large(spark, d):
+    """FLT-3."""
+    return itemsets.too_large(_events(spark, d).patterns, ItemsetOptions(1, max_items=3)).select("key")
+
+
+@query(EL_SQL + ", r AS (SELECT key FROM pat WHERE size = 2 UNION ALL SELECT key FROM pat WHERE size = 3) SELECT 'count' AS reporter, count(*)::BIGINT AS n FROM r UNION ALL SELECT 'maximal', (SELECT count(*) FROM r WHERE key NOT IN (SELECT parent FROM edge)) UNION ALL SELECT 'skip', (SELECT count(*) // 3 FROM r)")
+def reporter_chain(spark, d):
+    """REP-1, REP-2, REP-4: one stream of patterns to three reporters."""
+    lattice = _events(spark, d)
+    edges = cut(lattice.edges())
+    rows = lattice.patterns.where("size IN (2, 3)").withColumn("seq", F.monotonically_increasing_id())
+    every, best, some = reporters.chain(reporters.count, reporters.only_maximal(edges), reporters.skip(3))(rows)
+    n = lambda name, r: r.agg(F.count("*").alias("n")).select(F.lit(name).alias("reporter"), "n")
+    return every.select(F.lit("count").alias("reporter"), F.col("count").alias("n")).union(n("maximal", best)).union(n("skip", some))
+
+
+def nation_graph(spark, d) -> Graph:
+    """Nations of a region, each linked to the next, and to the region: paths, stars and triangles of equal labels."""
+    from pyspark.sql import Window
+
+    n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("region"), "n_nationkey")
+    after = F.lead("id").over(Window.partitionBy("region").orderBy("n_nationkey"))
+    vertices = n.select("id", F.lit("N").alias("label")).union(n.select("region", F.lit("R")).distinct())
+    edges = n.select(F.col("id").alias("src"), F.col("region").alias("targ"), F.lit("of").alias("label"))
+    return Graph(vertices, edges.union(n.select("id", after, F.lit("next")).where(F.col("id").isNotNull()).dropna()))
+
+
+_NATION_SQL = """WITH o AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM nation), x AS (SELECT 'n' || n_nationkey AS a, 'n' || lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation QUALIFY b IS NOT NULL),
+f AS (SELECT '{0:1}(N)' AS key, count(*) AS support FROM o UNION ALL SELECT '{0:1}(R)', count(DISTINCT r) FROM o
+UNION ALL SELECT '{1:2}(N)(N)[0->1:next]', least(count(DISTINCT a), count(DISTINCT b)) FROM x
+UNION ALL SELECT '{1:2}(N)(R)[0->1:of]', least(count(DISTINCT n), count(DISTINCT r)) FROM o
+UNION ALL SELECT '{2:3}(N)(N)(N)[0->1:next][1->2:next]', least(count(DISTINCT x.a), count(DISTINCT x.b), count(DISTINCT y.b)) FROM x JOIN x y ON x.b = y.a
+UNION ALL SELECT '{2:3}(N)(N)(R)[0->1:next][1->2:of]', least(count(DISTINCT a), count(DISTINCT b), count(DISTINCT r)) FROM x JOIN o ON n = b
+UNION ALL SELECT '{2:3}(N)(N)(R)[0->1:next][0->2:of]', least(count(DISTINCT a), count(DISTINCT b), count(DISTINCT r)) FROM x JOIN o ON n = a
+UNION ALL SELECT '{2:3}(N)(N)(R)[0->2:of][1->2:of]', least(count(DISTINCT p.n), count(DISTINCT q.n), count(DISTINCT p.r)) FROM o p JOIN o q ON p.r = q.r AND p.n <> q.n
+UNION ALL SELECT '{3:3}(N)(N)(R)[0->1:next][0->2:of][1->2:of]', least(count(DISTINCT a), count(DISTINCT b), count(DISTINCT p.r)) FROM x JOIN o p ON p.n = a JOIN o q ON q.n = b AND q.r = p.r)
+"""
+
+
+def _nation_lattice(spark, d, **more):
+    return digraphs.mine(nation_graph(spark, d), DigraphOptions(2, max_edges=3, **more))
+
+
+@query(_NATION_SQL + "SELECT key, support::BIGINT AS support FROM f")
+def digraph_names(spark, d):
+    """LAT-6, LAT-12, LAT-14, LAT-15, FLT-10, FN-3: names and supports, with automorphic stars and closing edges."""
+    return _nation_lattice(spark, d).patterns.where("n_edges < 3 OR n_vertices = 3").select("key", "support")
+
+
+@query(_NATION_SQL + "SELECT key, support::BIGINT AS support FROM f")
+def digraph_names_from_triples(spark, d):
+    """JOIN-12: the same lattice, candidates told from frequent label triples."""
+    return _nation_lattice(spark, d, extend_from="freq-edges").patterns.where("n_edges < 3 OR n_vertices = 3").select("key", "support")
+
+
+@query(_NATION_SQL + "SELECT key, support::BIGINT AS support FROM f WHERE key LIKE '{1:%' OR key LIKE '{2:%'")
+def digraph_acceptable(spark, d):
+    """FLT-2, FLT-4: patterns within bounds on edges and vertices."""
+    return digraphs.mine(nation_graph(spark, d), DigraphOptions(2, min_edges=1, max_edges=2, max_vertices=3)).acceptable().select("key", "support")
+
+
+@query(
+    "SELECT * FROM (VALUES ('{3:3}(N)(N)(R)[0->1:next][0->2:of][1->2:of]', '{2:3}(N)(N)(R)[0->1:next][0->2:of]', true), ('{3:3}(N)(N)(R)[0->1:next][0->2:of][1->2:of]', '{2:3}(N)(N)(R)[0->1:next][1->2:of]', false), ('{3:3}(N)(N)(R)[0->1:next][0->2:of][1->2:of]', '{2:3}(N)(N)(R)[0->2:of][1->2:of]', false), "
+    "('{2:3}(N)(N)(R)[0->1:next][0->2:of]', '{1:2}(N)(N)[0->1:next]', true), ('{2:3}(N)(N)(R)[0->1:next][0->2:of]', '{1:2}(N)(R)[0->1:of]', false)) t(child, parent, canonical)"
+)
+def digraph_canonical(spark, d):
+    """LAT-7, LAT-8, LAT-13: parents of the triangle and of one of these; the canonical one lacks the last edge that may go."""
+    children = ("{3:3}(N)(N)(R)[0->1:next][0->2:of][1->2:of]", "{2:3}(N)(N)(R)[0->1:next][0->2:of]")
+    return _nation_lattice(spark, d).edges.where(F.col("child").isin(*children)).select("child", "parent", "canonical")
+
+
+@query(_NATION_SQL + "SELECT key, 8 + 4 * (length(key) - length(replace(key, '(', '')) + length(key) - length(replace(key, '[', ''))) + 8 * (length(key) - length(replace(key, '[', ''))) + (length(key) - length(replace(key, '(', ''))) + 4 * (length(key) - length(replace(key, 'next', ''))) // 4 + 2 * (length(key) - length(replace(key, ':of', ''))) // 3 AS bytes FROM f")
+def pattern_bytes(spark, d):
+    """SRC-14, FN-3, FLT-12: patterns as bytes and back; their length, where both are equal."""
+    rows = _nation_lattice(spark, d).patterns.where("n_edges < 3 OR n_vertices = 3").select("key")
+
+    @F.pandas_udf("long")
+    def size(keys):
+        return keys.map(lambda k: len(P.to_bytes(P.parse(k))) if P.from_bytes(P.to_bytes(P.parse(k))).name() == k else -1)
+
+    return rows.select("key", size("key").alias("bytes"))
+
+
+@query("SELECT * FROM (VALUES ('{2:3}(a)(b)(c)[0->1:x][1->2:y]', 1::BIGINT), ('{1:2}(a)(b)[0->1:x]', 1), ('{1:2}(b)(c)[0->1:y]', 1), ('{1:2}(a)(c)[0->1:x]', 0)) t(pattern, n)")
+def pattern_as_graph(spark, d):
+    """SRC-11, JOIN-9: parts found in a pattern that is taken as a graph."""
+    graph = digraphs.as_graph(spark, P.parse("{2:3}(a)(b)(c)[0->1:x][1->2:y]"))
+    names = ("{2:3}(a)(b)(c)[0->1:x][1->2:y]", "{1:2}(a)(b)[0->1:x]", "{1:2}(b)(c)[0->1:y]", "{1:2}(a)(c)[0->1:x]")
+    return spark.createDataFrame([(n, digraphs.find_embeddings(graph, P.parse(n)).count()) for n in names], "pattern string, n long")
+
+
+@query("SELECT * FROM (VALUES ('{2:3}(a)(b)(c)[0->1:x][1->2:y]'), ('0:0')) t(ancestor)")
+def digraph_common_ancestor(spark, d):
+    """AGG-13: the largest part that all of a few patterns hold."""
+    some = [P.parse(n) for n in ("{3:4}(a)(b)(c)(d)[0->1:x][1->2:y][2->3:z]", "{3:3}(a)(b)(c)[0->1:x][0->2:z][1->2:y]", "{2:3}(a)(b)(c)[0->1:x][1->2:y]")]
+    found = [digraphs.common_ancestor(spark, some), digraphs.common_ancestor(spark, [some[0], P.parse("{0:1}(e)")])]
+    return spark.createDataFrame([(p.name(),) for p in found], "ancestor string")
+
+
+@query("SELECT * FROM (VALUES ('o-x-o-x-o-x-o-x-o', 'x>o', 4::BIGINT, 4::BIGINT, 1::BIGINT), ('z-o-x-o-x-o-z', 'x>o', 2, 2, 1), ('z-o-x-o-x-o-z', 'z>o<x', 2, 2, 2)) t(chain, pattern, mni, gis, fis)")
+def support_metrics(spark, d):
+    """AGG-2, AGG-3, AGG-4, OPT-9: three metrics that differ on chains of vertices, all edges into o."""
+    rows = []
+    for chain, shape in (("o-x-o-x-o-x-o-x-o", "x>o"), ("z-o-x-o-x-o-z", "x>o"), ("z-o-x-o-x-o-z", "z>o<x")):
+        labels = chain.split("-")
+        vertices = [(f"v{i}", v) for i, v in enumerate(labels)]
+        edges = [(f"v{i}", f"v{j}", "") for i, v in enumerate(labels) for j in (i - 1, i + 1) if v != "o" and 0 <= j < len(labels)]
+        graph = Graph(spark.createDataFrame(vertices, "id string, label string"), spark.createDataFrame(edges, "src string, targ string, label string"))
+        pattern = P.Pattern(("x", "o"), ((0, 1, ""),)) if shape == "x>o" else P.Pattern(("z", "o", "x"), ((0, 1, ""), (2, 1, "")))
+        found = digraphs.find_embeddings(graph, pattern)
+        found = cut(found.select(F.lit(shape).alias("key"), F.array(*found.columns).alias("ids")))
+        rows.append((chain, shape, *[metric(found).first()["support"] for metric in (digraphs.mni, digraphs.gis, digraphs.fis)]))
+    return spark.createDataFrame(rows, "chain string, pattern string, mni long, gis long, fis long")
+
+
+@query(G_SQL + "SELECT a.src AS o, a.targ AS c, b.targ AS n FROM le a JOIN le b ON a.targ = b.src WHERE a.sl = '1-URGENT' AND a.label = 'placed_by' AND a.tl = 'BUILDING' AND b.label = 'in' AND b.tl = (SELECT n_name FROM nation WHERE n_nationkey = 3)")
+def find_embeddings_degrees(spark, d):
+    """FLT-9, JOIN-4: all embeddings, vertices of too small degrees left out before."""
+    nation = _t(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
+    pattern = P.Pattern(("1-URGENT", "BUILDING", nation), ((0, 1, "placed_by"), (1, 2, "in")))
+    rows = digraphs.find_embeddings(star_graph(spark, d), pattern, degree_filter=True)
+    return rows.select(F.col("v0").alias("o"), F.col("v1").alias("c"), F.col("v2").alias("n"))
+
+
+@query("SELECT true AS ok, count(*)::BIGINT AS n FROM nation UNION ALL SELECT false, 3 * count(*) FROM nation")
+def embedding_exists(spark, d):
+    """FLT-13: embeddings, and others with a wrong label, a missing edge or a repeated vertex."""
+    graph = nation_graph(spark, d)
+    pattern = P.Pattern(("N", "R"), ((0, 1, "of"),))
+    rows = digraphs.find_embeddings(graph, pattern)
+    wrong = rows.select("v1", "v0").union(rows.select("v0", F.lit("r9"))).union(rows.select("v0", "v0"))
+    return digraphs.exists(graph, pattern, rows.union(wrong)).groupBy("ok").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment AS key, array_to_string(list_sort(list_distinct(list(n_regionkey::VARCHAR))), ' ') AS regions FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def attribute_sets(spark, d):
+    """JOIN-13, REP-8: values of an attribute over the vertices of a pattern's embeddings."""
+    c, n = _t(spark, d, "customer"), _t(spark, d, "nation")
+    rows = c.select(F.col("c_mktsegment").alias("key"), F.array(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")).alias("ids"))
+    vertices = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("attrs"))
+    sets = digraphs.attribute_sets(rows, vertices, "region")
+    return sets.select("key", F.array_join("labels", " ").alias("regions"))
+
+
+# Further statistics -------------------------------------------------------------------------------------------------------
+
+
+_METRICS_SQL = """WITH s AS (""" + _SETS + """), g AS (SELECT key, items, (key::BIGINT % 5)::VARCHAR AS c FROM s), k AS (SELECT count(DISTINCT c) AS n FROM g),
+m AS (SELECT g.*, floor(('0x' || substr(md5('1|' || key), 1, 8))::BIGINT / 4294967296.0 * k.n)::BIGINT::VARCHAR AS r FROM g, k),
+p AS (SELECT a.c AS ca, b.c AS cb, a.r AS ra, b.r AS rb, 1 - len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items)))::DOUBLE AS d FROM m a JOIN m b ON a.key < b.key),
+nc AS (SELECT c, count(*) AS n FROM m GROUP BY c), nr AS (SELECT r, count(*) AS n FROM m GROUP BY r)
+SELECT (SELECT count(*) FROM m)::BIGINT AS items, (SELECT count(DISTINCT c) FROM m)::BIGINT AS clusters, round(sum(CASE WHEN ca = cb THEN d / x.n END), 6) AS intra, round(sum(CASE WHEN ca <> cb THEN d / (x.n * y.n) END), 6) AS inter, round(corr(d, (ca = cb)::INT::DOUBLE), 6) AS correlation,
+  round(sum(CASE WHEN ra = rb THEN d / u.n END), 6) AS random_intra, round(sum(CASE WHEN ra <> rb THEN d / (u.n * w.n) END), 6) AS random_inter,
+  round(abs(sum(CASE WHEN ca = cb THEN d / x.n END) - sum(CASE WHEN ra = rb THEN d / u.n END)), 6) AS difference_intra
+FROM p JOIN nc x ON x.c = ca JOIN nc y ON y.c = cb JOIN nr u ON u.r = ra JOIN nr w ON w.r = rb"""
+
+
+@query(_METRICS_SQL)
+def cluster_metrics(spark, d):
+    """REP-7: distances inside and across clusters, and those of a random partition."""
+    sets = _user_sets(spark, d)
+    clusters = sets.select("key", (F.col("key").cast("long") % 5).cast("string").alias("cluster"))
+    row = reporters.cluster_metrics(clusters, sets, seed=1, items="labels")
+    return row.select("items", "clusters", *[F.round(c, 6).alias(c) for c in ("intra", "inter", "correlation", "random_intra", "random_inter", "difference_intra")])
+
+
+@query("SELECT arg_min(o_orderkey, struct_pack(v := o_totalprice, i := o_orderkey)) AS argmin, min(o_totalprice) AS least, (SELECT min(o_orderkey) FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)) AS argmax, max(o_totalprice) AS greatest, round(sum(o_totalprice), 2) AS total FROM orders")
+def argmin_argmax(spark, d):
+    """AGG-10."""
+    row = estimates.extremes(_t(spark, d, "orders"), "o_orderkey", "o_totalprice")
+    return row.withColumn("total", F.round("total", 2))
+
+
+@query("SELECT round(avg(value), 9) AS mean, round(var_samp(value), 6) AS variance, -1.0::DOUBLE AS mean_of_none FROM events")
+def sample_moments(spark, d):
+    """AGG-9: mean and variance of a sample; the mean of none is -1."""
+    events = _t(spark, d, "events")
+    none = estimates.moments(events.where("false"), "value").first()["mean"]
+    return estimates.moments(events, "value").select(F.round("mean", 9).alias("mean"), F.round("variance", 6).alias("variance"), F.lit(none).alias("mean_of_none"))
+
+
+@query("WITH w AS (SELECT event_type AS key, count(*)::DOUBLE AS w FROM events GROUP BY 1), p AS (SELECT key, sum(w) OVER (ORDER BY key) AS high, sum(w) OVER (ORDER BY key) - w AS low FROM w), x AS (SELECT range AS draw, ('0x' || substr(md5('1|' || range::VARCHAR), 1, 8))::BIGINT / 4294967296.0 * (SELECT sum(w) FROM w) AS x FROM range(40)) SELECT draw::BIGINT AS draw, key FROM x JOIN p ON low <= x AND x < high")
+def weighted_draws(spark, d):
+    """SMP-12: draws with repeats by weight, by hashed numbers."""
+    rows = _t(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").cast("double").alias("w"))
+    return walks.draw(rows, 40, 1, "key", replace=True, weight="w").select("draw", "key")
+
+
+@query("SELECT n_nationkey::BIGINT AS key, (row_number() OVER (ORDER BY md5('3|' || n_nationkey::VARCHAR)[1:8], n_nationkey) - 1)::INT AS place FROM nation")
+def permuted(spark, d):
+    """SMP-12: a permutation by hashed numbers."""
+    return walks.permutation(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key")), 3, "key")
+
+
+@query()
+def chain_quality(spark, d):
+    """SMP-14: quality of seven chains on random layered graphs; the tests hold the uniform one to 0."""
+    from .functions import theory
+
+    found = theory.compare(3, ("urw", "fastmax", "fastmax2", "unisorb", "uniprox", "dprox", "musk"))
+    return spark.createDataFrame([(m, *(float(q[k]) for k in ("stderr", "stddev", "max", "time"))) for m, q in found.items()], "chain string, stderr double, stddev double, max double, steps double")

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..operators.digraphs import Graph
 
 _ATTRIBUTES = "map<string,string>"
@@ -193,10 +194,14 @@ def dense_ids(graph: Graph) -> Graph:
     """Vertices and labels as dense numbers, by order of id and label; numbered in ranges, not by one global sort."""
 
     def numbers(df: DataFrame, name: str) -> DataFrame:
-        column = df.columns[0]
-        spark = df.sparkSession
-        ordered = df.distinct().orderBy(column).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-        return spark.createDataFrame(ordered, f"`{column}` string, `{name}` long")
+        # The upper bits of the increasing id name the range, the lower 33 the place in it.
+        column, low = df.columns[0], (1 << 33) - 1
+        rows = cut(df.distinct().orderBy(column).withColumn("at", F.monotonically_increasing_id()))
+        ranges = rows.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n"))
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        numbered = rows.join(ranges, F.shiftright("at", 33) == F.col("range"))
+        return numbered.select(F.col(column), (F.col("before") + F.col("at").bitwiseAND(F.lit(low))).alias(name))
 
     ids = numbers(graph.vertices.select(F.col("id").cast("string").alias("id")), "n")
     labels = numbers(graph.vertices.select("label").union(graph.edges.select("label")), "colour")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..checkpoints import cut
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a file, folder or gzip file as (line, value), numbered from 0 in order of files and lines.
 
-    The numbers come from the sizes of partitions and the order in them, not from a global sort.
+    The numbers come from the sizes of the blocks of the files and the order in them, not from a sort of the lines.
     """
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    return spark.createDataFrame(rows, T.StructType([T.StructField("line", T.LongType()), T.StructField("value", T.StringType())]))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = cut(spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at")))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return rows.join(blocks, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
 def parse_int_lines(lines: DataFrame) -> DataFrame:
