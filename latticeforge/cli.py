@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--samples", type=int, required=True)
             c.add_argument("--non-unique", action="store_true")
             c.add_argument("--teleport", type=float, default=0.01)
+            c.add_argument("--walks", type=int, default=0, help="uniprox: estimate by so many walks; 0 for exact weights")
+            c.add_argument("--max", action="store_true", help="uniprox: only maximal patterns")
             c.add_argument("--show-pr", action="store_true")
         else:
             c.add_argument("-s", "--score-function", default="random", choices=("random", "walk-kernel"))
@@ -138,7 +140,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         _report(a, lattice, run[a.mode](lattice).withColumn("seq", F.monotonically_increasing_id()))
     elif a.command == "sample":
         lattice = _lattice(spark, a)
-        rows = modes.sample(lattice, a.mode, a.samples, not a.non_unique, a.seed, a.teleport).select(F.col("node").alias("key"), F.col("sample").alias("seq"))
+        rows = modes.sample(lattice, a.mode, a.samples, not a.non_unique, a.seed, a.teleport, walks_n=a.walks, only_maximal=a.max).select(F.col("node").alias("key"), F.col("sample").alias("seq"))
         if a.show_pr:
             from .plans import walks
 

@@ -98,11 +98,11 @@ def index_speed(*tables: DataFrame) -> int:
 CHAINS = {"graple": walks.graple, "fastmax": walks.fastmax, "musk": walks.musk, "ospace": walks.ospace, "uniprox": walks.uniprox, "unisorb": walks.unisorb}
 
 
-def sample(lattice: Lattice, mode: str, samples: int, unique: bool = True, seed: int = 1, teleport: float = 0.01, per_sample: int = 4) -> DataFrame:
+def sample(lattice: Lattice, mode: str, samples: int, unique: bool = True, seed: int = 1, teleport: float = 0.01, per_sample: int = 4, walks_n: int = 0, only_maximal: bool = False) -> DataFrame:
     """(sample, node) of a sampling mode.
 
     Absorbing chains start ``per_sample`` walks a sample; musk, ospace and premusk start that many chains and report
-    maximal nodes, or for ospace all nodes, that they visit. Walks are bounded, so there may be fewer samples than asked.
+    maximal nodes, or for ospace all nodes, that they visit. ``walks_n`` and ``only_maximal`` are options of uniprox. Walks are bounded, so there may be fewer samples than asked.
     """
     if samples <= 0:
         raise ValueError("samples must be positive")
@@ -112,6 +112,9 @@ def sample(lattice: Lattice, mode: str, samples: int, unique: bool = True, seed:
         visits = walks.premusk(lattice.patterns, lattice.edges, lattice.root, starts, 4 * levels, teleport, seed=seed)
     elif mode in ("musk", "ospace"):
         visits = walks.walk(CHAINS[mode](lattice.patterns, lattice.edges), lattice.root, starts, 4 * levels, seed, every=True)
+    elif mode == "uniprox" and (walks_n or only_maximal):
+        chain = walks.uniprox(lattice.patterns, lattice.edges, walks=walks_n, seed=seed, only_maximal=only_maximal)
+        visits = walks.walk(chain, lattice.root, starts, 4 * levels, seed)
     elif mode in CHAINS:
         visits = walks.walk(CHAINS[mode](lattice.patterns, lattice.edges), lattice.root, starts, levels, seed)
     else:

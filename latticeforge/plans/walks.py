@@ -7,6 +7,8 @@ the cumulative transitions and takes the first one that reaches a hashed number,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,19 +121,53 @@ def permutation(rows: DataFrame, seed: int, key: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy(hashed(seed, key), key)) - 1)
 
 
-def uniprox(patterns: DataFrame, edges: DataFrame, minimum_level: int = 0) -> DataFrame:
-    """Down the canonical tree by depth times diameter of the subtree, exact as the tree is materialised.
+def estimated_metrics(patterns: DataFrame, edges: DataFrame, walks: int, seed: int = 1) -> DataFrame:
+    """(key, level, depth, diameter) of every pattern, from so many hashed uniform walks down its canonical subtree.
 
-    A leaf weighs 1 if it reaches the minimum level, else 0. The diameter of a subtree is the level of its deepest leaf
-    less that of its top, which all its leaves have in common, and 1; the depth counts the nodes of its longest path
-    and 1, as the estimates do that this replaces.
+    depth counts the nodes of the longest walk and 1; the diameter is the level of its end less that of the last node that
+    all walks share, and 1.
+    """
+    tree = edges.where("canonical")
+    kids = cut(tree.groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("kids")))
+    start = patterns.select("key").crossJoin(patterns.sparkSession.range(walks).withColumnRenamed("id", "walk"))  # a few walks each
+    here, step = cut(start.select("key", "walk", F.col("key").alias("at"))), 0
+    paths = []
+    while not here.isEmpty():
+        paths.append(here.select("key", "walk", "at", F.lit(step).alias("step")))
+        step += 1
+        x = hashed(seed, "key", "walk", F.lit(step))
+        moved = here.join(kids, here["at"] == kids["parent"])
+        here = cut(moved.select("key", "walk", F.get("kids", F.floor(x * F.size("kids")).cast("int")).alias("at")))
+    steps = reduce(DataFrame.unionByName, paths).groupBy("key", "step").agg(F.countDistinct("at").alias("nodes"), F.count("*").alias("n"))
+    shared = F.max(F.when((F.col("nodes") == 1) & (F.col("n") == walks), F.col("step")))
+    found = steps.groupBy("key").agg((F.max("step") + 2).alias("depth"), (F.max("step") - shared + 1).alias("diameter"))
+    return patterns.select("key", "level").join(found, "key")
+
+
+def uniprox(patterns: DataFrame, edges: DataFrame, minimum_level: int = 0, walks: int = 0, seed: int = 1, only_maximal: bool = False) -> DataFrame:
+    """Down the canonical tree by depth times diameter of the subtree.
+
+    They are exact, as the tree is materialised, or with ``walks`` estimated by so many hashed walks. A leaf weighs 1 if
+    it reaches the minimum level, else 0. The exact diameter of a subtree is the level of its deepest leaf less that of
+    its top, which all its leaves have in common, and 1; the depth counts the nodes of its longest path and 1. With
+    ``only_maximal`` a leaf that has children, though no canonical ones, leads back to the root.
     """
-    metrics = tree_metrics(patterns, edges).select(F.col("key").alias("v"), "level", "leaves", "depth")
-    inner = edges.where("canonical").select(F.col("parent").alias("v")).distinct().withColumn("inner", F.lit(True))
+    tree = edges.where("canonical")
+    if walks:
+        metrics = estimated_metrics(patterns, edges, walks, seed).withColumnRenamed("key", "v")
+    else:
+        exact = tree_metrics(patterns, edges)
+        metrics = exact.select(F.col("key").alias("v"), "level", (F.col("depth") + 1).alias("depth"), F.col("depth").alias("diameter"))
+    inner = tree.select(F.col("parent").alias("v")).distinct().withColumn("inner", F.lit(True))
     metrics = metrics.join(inner, "v", "left")
-    deep = F.col("depth") + F.col("level") >= minimum_level
-    weight = F.when(F.col("inner"), F.when(deep, (F.col("depth") + 1) * F.col("depth")).otherwise(0)).otherwise(F.when(F.col("level") >= minimum_level, 1).otherwise(0))
-    return normalised(_down(edges.where("canonical")).join(metrics.select("v", weight.cast("double").alias("weight")), "v").select("u", "v", "weight"))
+    deep = F.col("depth") - 1 + F.col("level") >= minimum_level
+    weight = F.when(F.col("inner"), F.when(deep, F.col("depth") * F.col("diameter")).otherwise(0)).otherwise(F.when(F.col("level") >= minimum_level, 1).otherwise(0))
+    down = _down(tree).join(metrics.select("v", weight.cast("double").alias("weight")), "v").select("u", "v", "weight")
+    if only_maximal:
+        roots = patterns.select(F.col("key").alias("v")).join(tree.select(F.col("child").alias("v")), "v", "left_anti")
+        back = edges.select(F.col("parent").alias("u")).distinct().join(inner.select(F.col("v").alias("u")), "u", "left_anti")
+        down = down.unionByName(back.crossJoin(roots.select("v")).withColumn("weight", F.lit(1.0)))  # one root
+    return normalised(down)
 
 
 def absorption(transitions: DataFrame, start: DataFrame, max_steps: int = 1000) -> DataFrame:

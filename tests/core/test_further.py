@@ -147,3 +147,15 @@ def test_dense_ids_are_dense(spark):
     dense = graphs.dense_ids(g)
     assert sorted(int(r["id"]) for r in dense.vertices.collect()) == list(range(300))
     assert [tuple(r) for r in dense.edges.collect()] == [("1", "299", "2")]
+
+
+def test_uniprox_by_walks_and_for_maximal_patterns(spark):
+    """On a binary tree enough walks see every path, so depth and diameter are the exact ones."""
+    keys = ["", *(a for n in (1, 2, 3) for a in map("".join, itertools.product("ab", repeat=n)))]
+    patterns = spark.createDataFrame([(k, len(k) + 1, 1) for k in keys], "key string, level int, support long")
+    edges = spark.createDataFrame([(k[:-1], k, True) for k in keys if k] + [("aaa", "bbb", False)], "parent string, child string, canonical boolean")
+    exact = {(r["u"], r["v"]): r["pr"] for r in walks.uniprox(patterns, edges).collect()}
+    by_walks = {(r["u"], r["v"]): r["pr"] for r in walks.uniprox(patterns, edges, walks=40).collect()}
+    assert exact.keys() == by_walks.keys() and all(abs(exact[k] - by_walks[k]) < 1e-9 for k in exact)
+    back = {(r["u"], r["v"]): r["pr"] for r in walks.uniprox(patterns, edges, only_maximal=True).collect()}
+    assert back[("aaa", "")] == 1.0 and len(back) == len(exact) + 1
