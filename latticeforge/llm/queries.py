@@ -29,6 +29,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": licenses.ORACLE_SQL,
+        "op7_embedding_near_dedup": embeddings.ORACLE_SQL,
+        "op8_substring_dedup": substrings.ORACLE_SQL,
         "op9_line_dedup": lines.ORACLE_SQL,
         "op10_source_mixing": mixing.ORACLE_SQL,
     }
