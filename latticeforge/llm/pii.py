@@ -68,8 +68,8 @@ OTHER = {
     "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօ",
     "Georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
 }
-#: Rounds without any progress after which a kind counts as too full; names grow longer and never are.
-ROUNDS = 64
+#: Draws of a value, without any success of any, after which a kind counts as too full; names grow longer and never are.
+DRAWS = 2000
 
 
 def _kind(found: Column) -> Column:
@@ -221,30 +221,33 @@ def _written(kind: Column, found: Column, surrogate: Column) -> Column:
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) of the rows (kind, value[, female]): all surrogates of a kind differ from each other and
-    from its values. Those that do not are drawn again, the later drawn and greater value first. A value whose rows have a
-    positive sum of ``female`` is a woman's name.
+    from its values. A value takes the first of its keyed draws that no value is, and that no other value has taken or draws
+    earlier; those that are left draw again, twice as often each time. A value whose rows have a positive sum of ``female``
+    is a woman's name.
     """
     female = F.sum("female") if "female" in values.columns else F.lit(0)
     values = cut(values.groupBy("kind", "value").agg(female.alias("female")))
-    drawn, left, idle = values.withColumn("attempt", F.lit(0)), None, 0
+    taken = values.select("kind", F.col("value").alias("surrogate"))
+    left, settled, start, width, idle = values, None, 0, 1, 0
     while True:
+        drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(start + width - 1))))
         # The bytes are a column of their own: inside the lambdas they would be hashed again for every character.
         drawn = drawn.withColumn("stream", _stream(key, F.col("kind"), F.col("value"), F.col("attempt")))
         made = _surrogate(F.col("stream"), F.col("kind"), F.col("value"), F.col("female"), F.col("attempt"))
-        drawn = cut(drawn.select("kind", "value", "female", "attempt", made.alias("surrogate")))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
-        taken = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
-        checked = drawn.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        again = F.coalesce("taken", F.lit(False)) | (F.col("first") != F.struct("attempt", "value"))
-        checked = cut(checked.select("kind", "value", "female", "attempt", "surrogate", again.alias("again")))
-        now = checked.where("again").count()
-        if not now:
-            return checked.select("kind", "value", "surrogate")
-        idle = idle + 1 if left is not None and now >= left else 0
-        if idle > ROUNDS:
+        free = drawn.select("kind", "value", "attempt", made.alias("surrogate")).join(taken, ["kind", "surrogate"], "left_anti")
+        if settled is not None:
+            free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        first = free.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("x"))
+        own = first.groupBy("kind", F.col("x.value").alias("value")).agg(F.min_by("surrogate", "x.attempt").alias("surrogate"))
+        own = cut(own.select("kind", "value", "surrogate"))
+        settled = own if settled is None else settled.unionByName(own)
+        left = cut(left.join(own.select("kind", "value"), ["kind", "value"], "left_anti"))
+        if left.isEmpty():
+            return settled
+        idle = idle + width if own.isEmpty() else 0
+        if idle > DRAWS:
             raise RuntimeError("some kind has more values than surrogates")
-        left = now if left is None else min(left, now)
-        drawn = checked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("surrogate", "again")
+        start, width = start + width, min(2 * width, 64)
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
