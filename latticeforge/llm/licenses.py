@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import size_of, table
+from ._common import table
 
 # Sentences of well-known licences, normalised, as far as they are the same in all copies. Some words may vary.
 _SOME = "(?:[a-z0-9.+/]+ ){1,12}"
@@ -168,7 +168,7 @@ def recognise(docs: DataFrame, text_column: str = "text", prefix: str = "") -> D
     names = F.aggregate(rules, start, step, lambda acc: F.array_join(F.array_distinct(acc["names"]), ","))
     out = out.withColumn(found, F.when(F.length(work) > 2, names).otherwise(""))
     clean = F.regexp_replace(F.regexp_replace(F.col(work), r"^,|,$", ""), ",,", ",")
-    unknown = size_of(F.split(F.col(work), r"\?")) - 1
+    unknown = F.size(F.split(F.col(work), r"\?")) - 1
     return out.select(*[out[c] for c in docs.columns], found, clean.alias(work), unknown.cast("long").alias(f"{prefix}n_unknown"))
 
 

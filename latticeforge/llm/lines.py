@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, fresh, size_of, table, tables, text_or_empty
+from ._common import cut, fresh, table, tables, text_or_empty
 
 #: Least number of lines of a repeated run.
 RUN = 3
@@ -126,7 +126,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text
         changed[length_column] = F.length(kept).cast(docs.schema[length_column].dataType)
     columns = [F.when(F.col(gone_f).isNull(), joined[c]).otherwise(changed[c]).alias(c) if c in changed else joined[c] for c in docs.columns]
     if removed is not None:
-        columns.append(size_of(F.filter(gone_f, lambda x: x)).alias(removed))
+        columns.append(F.size(F.filter(F.coalesce(F.col(gone_f), F.array().cast("array<boolean>")), lambda x: x)).alias(removed))
     return joined.select(*columns)
 
 

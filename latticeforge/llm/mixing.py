@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, size_of, table
+from ._common import cut, table
 
 #: Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -24,7 +24,9 @@ ROWS_PER_GROUP, CELLS = 2_000, 4096
 
 
 def words_in(text: Column) -> Column:
-    return size_of(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))).cast("long")
+    """Number of words, counted as the length of a text that has one letter for each: no array of them is made."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")
+    return F.length(F.regexp_replace(letters, r"[\x20\x09-\x0D]+$", "")).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
