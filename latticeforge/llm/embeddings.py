@@ -5,7 +5,7 @@ nearest pivots, per label. Two vectors that meet in a list share those two pivot
 share enough of all their listed pivots, and then by cosine in double precision. A pair that meets in several
 lists is counted in the first of them only.
 
-There are as many pivots as the square root of the number of vectors, so lists stay short as vectors are added; lists hold
+Pivots grow with the square root of the number of vectors, so lists stay short as vectors are added; lists hold
 ids, and only vectors that meet another one in a list are fetched. A list of many vectors is spread over pairs of blocks of
 bounded size, so no task holds a whole list, and every pair is still met once. A task returns, for each vector, its number
 of links and the smallest vector it is joined to in that block: output grows with the list, not with its pairs. The work
@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "v
     components, and those without label, link with nothing. Vectors of different sizes are never linked.
 
     Equal vectors of a label are one class, told by 128 bits, which is never expanded into pairs. There are ``pivots`` pivots,
-    by default the square root of the number of classes, 64 at least, chosen from ``sample`` rows, or as many as there are
+    by default a third of the square root of the number of classes, 64 at least, chosen from ``sample`` rows, or as many as there are
     pivots, those with the least hash; all rows are indexed. Repeated ids are separate vectors; a null id has no
     links of its own to name and its component is that of the smallest id reached. Extra columns are not read.
     """
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_column: str = "v
     members = rows.where("fit")
     classes = members.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))  # numbers that are written, and so stay
-    pivots = pivots or max(PIVOTS, math.isqrt(classes.count()) + 1)
+    pivots = pivots or max(PIVOTS, math.isqrt(classes.count()) // 3)
     sample = max(sample, pivots)
     few = classes.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(sample).select("vector").toPandas()["vector"]
     if not len(few):
