@@ -114,6 +114,8 @@ RULES = [
     ("All-Rights-Reserved", ["reserved"]),
 ]
 HINT = r"licen[cs]e|copyright|warrant|permission is|permission to use|redistribut|rights reserved|public domain|provided as is|free software|liable|applicable law|in the hope|\bcc0\b|endorse|source code form|misrepresented|plainly marked|may not be removed or altered|anyone is free to"
+#: A word of every hint: what has none of them is not looked at further.
+QUICK = r"licen[cs]e|copyright|warrant|permission|redistribut|reserved|domain|provided|software|liable|applicable|hope|cc0|endorse|source|misrepresented|plainly|removed|anyone"
 #: Any known sentence; at a place, the first that fits.
 KNOWN = r"\b(?:" + "|".join(f"(?:{p})" for _, p in SENTENCES) + r")\b"
 URL = r"https?://[^\x20\x09-\x0D]*"
@@ -130,12 +132,13 @@ def _rule(ids: list[str]) -> str:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences with a hint of licensing, in order; lines are joined unless a blank one is between."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"), LEADER, "$1")
+    text = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), LEADER, "$1")
     plain = F.regexp_replace(plain, URL, " ")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\bv\.[\t\n ]*([0-9])", "v$1"), r"\n[\t ]*\n", "\u0001")
     parts = F.split(F.regexp_replace(plain, r"[.!?;][\x20\x09-\x0D]+", "\u0001"), "\u0001")
-    clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+/]+", " "), r"^[ ./+]+|[ ./+]+$", "")))
-    return F.filter(clean, lambda s: s.rlike(HINT))
+    clean = F.transform(F.filter(parts, lambda s: s.rlike(QUICK)), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.+/]+", " "), r"^[ ./+]+|[ ./+]+$", "")))
+    return F.when(text.rlike(QUICK), F.filter(clean, lambda s: s.rlike(HINT))).otherwise(F.array().cast("array<string>"))
 
 
 def _identifier(sentence: Column) -> Column:
