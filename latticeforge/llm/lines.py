@@ -131,9 +131,12 @@ def deduplicate(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left."""
+    """One row per document: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left.
+
+    Later runs of three lines go, and shorter ones of 25 words or more.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    out = deduplicate(docs, removed="n_removed")
+    out = deduplicate(docs, removed="n_removed", words=WORDS)
     return out.select("doc_id", "n_lines", F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -142,11 +145,16 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
 ), filled AS (
   SELECT doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM lines
-), runs AS (
-  SELECT doc_id, i, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS ts, [i, lead(i, 1) OVER w, lead(i, 2) OVER w] AS places
+), follow AS (
+  SELECT doc_id, i, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS ts, [i, lead(i, 1) OVER w, lead(i, 2) OVER w] AS places,
+    len(string_split_regex(t, '[\x20\x09-\x0D]+')) AS n, lead(len(string_split_regex(t, '[\x20\x09-\x0D]+'))) OVER w AS next
   FROM filled WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, i, ts, places FROM follow WHERE places[3] IS NOT NULL
+  UNION ALL SELECT doc_id, i, ts[:2], places[:2] FROM follow WHERE places[2] IS NOT NULL AND n + next >= 25
+  UNION ALL SELECT doc_id, i, ts[:1], places[:1] FROM follow WHERE n >= 25
 ), later AS (
-  SELECT *, row_number() OVER (PARTITION BY ts ORDER BY doc_id, i) AS nth FROM runs WHERE places[3] IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY ts ORDER BY doc_id, i) AS nth FROM runs
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(places) AS i FROM later WHERE nth > 1
 )
