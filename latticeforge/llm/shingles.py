@@ -9,11 +9,13 @@ none below it is linked.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +24,15 @@ from ._common import cut, tables, text_or_empty
 from ._components import connected_components
 from .simhash import majority, pigeonring_stars
 
-#: Texts, about, from which the frequency of shingles is estimated, and shingles, at most, that are placed last. Neither
-#: changes a result: any one order finds all pairs, and that of rare shingles first finds them with the fewest candidates.
-SAMPLE, FREQUENT = 4096, 20_000
+#: Counters a text in the table that tells rare shingles from frequent ones, bits of the greatest number of them, and of those
+#: in a row. None changes a result: any one order finds all pairs, and that of rare shingles first finds them with the fewest candidates.
+COUNTERS, MOST_BITS, ROW_BITS = 64, 24, 16
 #: Rows of three numbers that may be broadcast; more are joined by a shuffle.
 FEW = 100_000
 #: Bits of parity, a multiple of 64.
 PARITIES = 1024
+#: Longs of parity that go with the entries of shingles, so that most pairs are never made.
+FOLDED = 4
 #: Bytes of texts that may be broadcast to be verified, and hashes of them that a task remembers.
 FEW_BYTES, HELD = 4_000_000, 1_000_000
 #: Parts in which the entries are shuffled, one after another, which bounds the disk that shuffles hold at a time.
@@ -50,23 +54,18 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)).view(np.int64))
 
 
-def _sets(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingle_hashes(t, width) for t in batch])
-
-    return hashed(text)
+def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The places of shingles in a table of 2 ** ``bits`` counters."""
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _prefixes(text: Column, width: int, similarity: float, frequent: dict[int, int]) -> Column:
+def _prefixes(text: Column, width: int, similarity: float, rarity: np.ndarray) -> Column:
     """Structs of a hash of the whole set, its size, its SimHash, its parities and its first shingles.
 
     The parities are bits, one for each remainder of the hashes, set if an odd number of shingles has it. Sets that differ
     in k shingles differ in k of these bits at most.
     """
-    late = np.array(sorted(frequent), np.int64)
-    rank = np.array([frequent[h] for h in late.tolist()], np.int64)
+    bits = len(rarity).bit_length() - 1
 
     @F.pandas_udf("key long, n int, fp long, parity array<long>, prefix array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -81,22 +80,45 @@ def _prefixes(text: Column, width: int, similarity: float, frequent: dict[int, i
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 prints.append(majority(hashes.view(np.uint64)) if n else 0)
                 length = n - math.ceil(similarity * n - _SLACK) + 1 if n else 0
-                if len(late) and n:
-                    at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
-                    hashes = hashes[np.argsort(np.where(late[at] == hashes, rank[at], 0), kind="stable")]
-                prefixes.append(hashes[:length])
+                prefixes.append(hashes[np.argsort(rarity[_counter(hashes, bits)], kind="stable")[:length]])
             yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "n": pd.Series(sizes, dtype="int32"), "fp": pd.Series(prints, dtype="int64"), "parity": pd.Series(parities, dtype="object"), "prefix": pd.Series(prefixes, dtype="object")})
 
     return found(text)
 
 
-def _frequent(docs: DataFrame, text: Column, width: int) -> dict[int, int]:
-    """Shingles that several texts of a sample hold, with their rank from 1, the most frequent last."""
-    rate = max(1, docs.count() // SAMPLE)
-    some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(rate)) == 0).distinct()
-    counts = some.select(F.explode(_sets(F.col("t"), width)).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
-    rows = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    return {r["h"]: len(rows) - i for i, r in enumerate(rows)}
+def _rarity(docs: DataFrame, text: Column, width: int) -> np.ndarray:
+    """A table of counters, of one byte: about 16 times the logarithm of the texts that hold a shingle of each place.
+
+    All texts are counted. A shingle shares its place with others, which adds as much to all, give or take: so the shingles of a
+    large group stand out whatever the number of texts, which those of a sample of fixed size do not.
+    """
+    bits = min(MOST_BITS, max(ROW_BITS, (COUNTERS * docs.count()).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                at = _counter(shingle_hashes(t, width), bits)
+                seen[at] += seen[at] < 255
+        for i, block in enumerate(np.split(seen, 1 << bits - ROW_BITS)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
+                sums[part] = sums[part] + block if part in sums else block.astype(np.uint32)
+        for part, total in sums.items():
+            scaled = np.minimum(255, np.rint(16 * np.log2(1.0 + total))).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([scaled.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    rows = docs.select(text.alias("t")).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
+    out = np.zeros(1 << bits, np.uint8)
+    for part, counts in rows:
+        out[part << ROW_BITS : part + 1 << ROW_BITS] = np.frombuffer(counts, np.uint8)
+    return out
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -110,6 +132,11 @@ def _possible(similarity: float) -> Column:
     return _sizes_fit(similarity) & (left >= similarity / (1 + similarity) * (na + nb) - _SLACK)
 
 
+def _folded(parity: str) -> list[Column]:
+    """Fewer parities, each of several: sets that differ in k shingles differ in k of these bits at most, too."""
+    return [reduce(Column.bitwiseXOR, [F.get(parity, i) for i in range(n, PARITIES // 64, FOLDED)]) for n in range(FOLDED)]
+
+
 def _parities_fit(similarity: float) -> Column:
     """Whether the parities leave room for sets as similar as that: no pair that is so fails."""
     both = F.col("n_a") + F.col("n_b")
@@ -159,7 +186,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     text = text_or_empty(docs, text_column)
     spark = docs.sparkSession
     with tables(spark) as keep:
-        found = _prefixes(text, width, similarity, _frequent(docs, text, width))
+        found = _prefixes(text, width, similarity, _rarity(docs, text, width))
         base = docs.select(docs[id_column].cast("long").alias("id"), F.xxhash64(text).alias("text_key"), found.alias("f"))
         with tables(spark) as hold:
             # Equal sets are one class before any pair is made.
@@ -213,9 +240,10 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         links = links.union(verified(alike.union(near).union(stars)))
         # Then all pairs of texts that are not in one component yet.
         rooted = some.join(roots(), F.col("key") == F.col("node"), "left").select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-        some = shared(rooted, "root")
-        side = lambda x, s: x.select("h", F.struct("n", "key").alias(f"at_{s}"), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("root").alias(f"root_{s}"))
-        met = side(some, "a").join(side(some, "b"), "h").where((F.col("at_a") < F.col("at_b")) & (F.col("root_a") != F.col("root_b")) & _possible(similarity))
+        folded = classes.select("key", F.array(*_folded("parity")).alias("parity"))
+        some = keep(shared(rooted, "root").join(folded, "key"))
+        side = lambda x, s: x.select("h", F.struct("n", "key").alias(f"at_{s}"), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("root").alias(f"root_{s}"), F.col("parity").alias(f"parity_{s}"))
+        met = side(some, "a").join(side(some, "b"), "h").where((F.col("at_a") < F.col("at_b")) & (F.col("root_a") != F.col("root_b")) & _possible(similarity) & _parities_fit(similarity))
         links = links.union(verified(met.select("a", "b")))
         named = classes.join(roots(), F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
         smallest = keep(named.groupBy("root").agg(F.min("rep").alias("component_id")))

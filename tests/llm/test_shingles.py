@@ -64,3 +64,15 @@ def test_nulls_repeats_and_empty(spark):
     assert len(shingles.keep_first(df).collect()) == 2
     none = spark.createDataFrame([], "doc_id long, text string")
     assert shingles.keep_first(none).collect() == []
+
+
+def test_every_text_counts_for_the_rarity_of_shingles(spark):
+    """A passage of 40 texts among 9,000 stands out from shingles of one text."""
+    passage = "one passage that many texts hold"
+    rows = [(i, f"{passage} " * (i % 225 == 0) + f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rarity = shingles._rarity(df, df["text"], 5)
+    bits = len(rarity).bit_length() - 1
+    shared = rarity[shingles._counter(shingles.shingle_hashes(passage), bits)]
+    own = rarity[shingles._counter(shingles.shingle_hashes(rows[1][1]), bits)]
+    assert shared.min() >= 16 * 5 > own.max() > 0
