@@ -133,8 +133,9 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 
 def common_ancestor(patterns: DataFrame) -> DataFrame:
-    """One row (items): the items that all patterns share, by counting rather than by gathering the patterns."""
+    """One row (items): the items that all patterns share, by counting rather than by gathering them; null if there are no patterns."""
     total = patterns.agg(F.count("*").alias("n"))
     shared = patterns.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     shared = shared.join(F.broadcast(total), "n")  # one row
-    return shared.agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = shared.agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return found.crossJoin(F.broadcast(total)).select(F.when(F.col("n") > 0, F.col("items")).alias("items"))  # one row each

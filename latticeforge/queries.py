@@ -197,7 +197,7 @@ def itemset_format(spark, d):
 def itemset_common_ancestor(spark, d):
     """AGG-12: items that all itemsets of four or more share."""
     rows = _events(spark, d).patterns.where("size >= 4")
-    return itemsets.common_ancestor(rows).select(itemsets.key_of(F.coalesce("items", F.array().cast("array<string>"))).alias("items"))
+    return itemsets.common_ancestor(rows).select(itemsets.key_of(F.col("items")).alias("items"))
 
 
 @query("SELECT doc_id AS tx, list_sum([try_cast(w AS INT) FOR w IN string_split(text, ' ')])::BIGINT AS total, len([1 FOR w IN string_split(text, ' ') IF try_cast(w AS INT) IS NOT NULL])::BIGINT AS n FROM (SELECT l_orderkey AS doc_id, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) || ' x' AS text FROM lineitem GROUP BY 1)")

@@ -104,3 +104,17 @@ def test_reporters(spark):
     got = {r["key"]: r["cluster"] for r in reporters.dbscan(df, 0.2).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
     assert reporters.dbscan(df, 0.2, attributes="attrs").count() == 6
+
+
+def _events_of_pairs(spark, folder):
+    """Events whose baskets hold two types at most, so that no set of four is frequent."""
+    rows = [(i, i // 2, "ab"[i % 2]) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("*", "TIMESTAMP'2024-01-01' AS ts")
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_common_ancestor_of_no_patterns_is_null(spark, tmp_path):
+    from latticeforge.queries import QUERIES
+
+    assert [r["items"] for r in QUERIES["itemset_common_ancestor"](spark, _events_of_pairs(spark, tmp_path)).collect()] == [None]
