@@ -744,7 +744,9 @@ def reporter_dir(spark, d):
     txs = lattice.tx_lists().join(samples.select("key", "sample"), "key").select("sample", F.posexplode("txs").alias("embedding", "text"))
     with scratch(spark) as path:
         reporters.dir_report(path, samples.select("sample", "key", "pattern"), txs.where("embedding < 2"))
-        names = spark.read.text(f"{path}/pattern.name").select(F.col("sample").cast("int").alias("sample"), F.col("value").alias("name"))
+        names = spark.read.text(f"{path}/pattern.name")
+        names = names if "sample" in names.columns else names.withColumn("sample", F.lit(None))  # no sample, no folder
+        names = names.select(F.col("sample").cast("int").alias("sample"), F.col("value").alias("name"))
         counts = txs.groupBy("sample").agg(F.count("*").alias("embeddings"))
         n = spark.read.text(f"{path}/count").first()["value"]
         return cut(names.join(counts, "sample").select("sample", "name", "embeddings", F.lit(int(n)).cast("long").alias("all_samples")))

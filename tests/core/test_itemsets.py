@@ -118,3 +118,9 @@ def test_common_ancestor_of_no_patterns_is_null(spark, tmp_path):
     from latticeforge.queries import QUERIES
 
     assert [r["items"] for r in QUERIES["itemset_common_ancestor"](spark, _events_of_pairs(spark, tmp_path)).collect()] == [None]
+
+
+def test_reporter_dir_without_samples(spark, tmp_path):
+    from latticeforge.queries import QUERIES
+
+    assert QUERIES["reporter_dir"](spark, _events_of_pairs(spark, tmp_path)).collect() == []
