@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import pickle
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions import patterns as P
+from ..functions.distances import Block, block_sums
 from . import walks
 
 Reporter = Callable[[DataFrame], DataFrame]
@@ -160,38 +165,94 @@ def dbscan(patterns: DataFrame, epsilon: float = 0.2, key: str = "key", labels:
     return clusters.join(groups, key)
 
 
-def cluster_metrics(clusters: DataFrame, sets: DataFrame, seed: int = 1, key: str = "key", items: str = "items", most: int = 20_000) -> DataFrame:
-    """One row about clusters (key, cluster) of patterns by the Jaccard distance of their sets (key, items).
+def _blocks(named: DataFrame, items: str, ways: tuple[str, ...], block: int) -> tuple[DataFrame, int]:
+    """(block, data): the distinct sets of ``items`` in blocks of about ``block``, each what distances.Block takes, pickled; and how many blocks."""
+    rows = named.where(F.col(items).isNotNull()).withColumn("set_", F.array_sort(F.array_distinct(items)))
+    for way in ways:
+        sizes = cut(named.where(F.col(way).isNotNull()).groupBy(way).agg(F.count("*").alias(f"{way}_n")))
+        rows = rows.join(sizes.withColumn(f"{way}_id", F.monotonically_increasing_id()), way, "left")
+    columns = [f"{way}_{x}" for way in ways for x in ("id", "n")]
+    # A null cluster is -1: its pairs have no part.
+    counts = rows.groupBy("set_", *columns).agg(F.count("*").alias("m")).na.fill(-1, columns)
+    sets = cut(counts.groupBy("set_").agg(F.collect_list(F.struct("m", *columns)).alias("cell")))
+    blocks = -(-sets.count() // block)
+    sets = cut(sets.withColumn("at_", F.monotonically_increasing_id()))
+    elements = sets.select("at_", F.explode("set_").alias("e"))
+    numbers = cut(elements.select(F.col("e").alias("x")).distinct()).withColumn("i", F.monotonically_increasing_id())
+    lists = elements.join(numbers, F.col("e").eqNullSafe(F.col("x"))).groupBy("at_").agg(F.collect_list("i").alias("list"))
+    fields = [F.col(f"cell.{x}").alias(x) for x in ("m", *columns)]
+    sets = sets.join(lists, "at_", "left").select(F.pmod(F.xxhash64("at_"), F.lit(max(1, blocks))).cast("int").alias("block"), "list", *fields)
+
+    def pack(rows):
+        import pandas as pd
+
+        cells, of = [], np.repeat(np.arange(len(rows)), rows["m"].map(len))
+        for way in ways:
+            at = pd.DataFrame({"set": of, "id": np.concatenate(rows[f"{way}_id"].tolist()), "n": np.concatenate(rows[f"{way}_n"].tolist()), "m": np.concatenate(rows["m"].tolist())})
+            at = at[at["id"] >= 0].groupby(["set", "id", "n"], as_index=False)["m"].sum()
+            cells.append(tuple(at[x].to_numpy(np.int64) for x in ("set", "id", "m", "n")))
+        lists = [np.zeros(0, np.int64) if x is None else x for x in rows["list"]]
+        data = pickle.dumps((np.array([len(x) for x in lists], np.int64), np.concatenate(lists), cells))
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "data": [zlib.compress(data, 1)]})
+
+    return cut(sets.groupBy("block").applyInPandas(pack, "block int, data binary")), blocks
+
+
+def _pair_sums(blocks: DataFrame, n: int, ways: int) -> list[dict[str, float]]:
+    """The sums of distances.block_sums over all pairs of ``n`` blocks."""
+    names = ("d", "dd", "inside", "intra", "inter")
+
+    def compare(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["data_a"], batch["data_b"], strict=True):
+                first = Block(*pickle.loads(zlib.decompress(x)))
+                found = block_sums(first, first if a == b else Block(*pickle.loads(zlib.decompress(y))))
+                yield pd.DataFrame([{"way": i} | s for i, s in enumerate(found)])
+
+    spark = blocks.sparkSession
+    of = lambda s: blocks.select(F.col("block").alias(s), F.col("data").alias(f"data_{s}"))
+    pairs = spark.range(n * n).select((F.col("id") / n).cast("int").alias("a"), (F.col("id") % n).cast("int").alias("b")).where("a <= b")
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    # Few pairs a task, as their sets are heavy; the number is not left to adaptive execution, which sees bytes, not work.
+    pairs = pairs.repartition(max(3 * spark.sparkContext.defaultParallelism, n * n // 32), "a", "b")
+    schema = "way int, " + ", ".join(f"{x} double" for x in (*names, "low", "high"))
+    sums = pairs.mapInPandas(compare, schema).groupBy("way").agg(*[F.sum(x).alias(x) for x in names], F.min("low").alias("low"), F.max("high").alias("high"))
+    found = {r["way"]: r.asDict() for r in sums.collect()}
+    return [found.get(i, {}) for i in range(ways)]
+
+
+def cluster_metrics(clusters: DataFrame, sets: DataFrame, seed: int = 1, key: str = "key", items: str = "items", block: int = 1024) -> DataFrame:
+    """One row about clusters (key, cluster) of patterns by the Jaccard distance of their sets (key, items); a key has one row.
 
     intra and inter sum, over clusters and pairs of clusters, the distances of pairs inside and across, divided by the
-    sizes; correlation is that of a pair's distance with its being inside one. The same follow for patterns dealt to as
-    many clusters by hashed numbers (random_...), and the differences (difference_...). All pairs are compared, so
-    there may be ``most`` patterns.
+    sizes; correlation is that of a pair's distance with its being inside one. They are null if there is no such pair. The
+    same follow for patterns dealt to as many clusters by hashed numbers (random_...), and the differences (difference_...).
+
+    All pairs count, but only distinct sets are compared, ``block`` or so of them with as many others at a time, and no row is
+    made of a pair: work grows with the square of the distinct sets, memory does not.
     """
     named = cut(clusters.select(key, F.col("cluster").alias("c")).join(sets.select(key, items), key))
-    n = named.count()
-    if n > most:
-        raise ValueError(f"{n} patterns; pairs of at most {most} are compared")
-    groups = named.select("c").distinct().count()
-    dealt = F.floor(walks.hashed(seed, key) * groups).cast("string")
-    named = cut(named.withColumn("r", dealt))
-    side = lambda s: named.select(F.col(key).alias(f"key_{s}"), F.col(items).alias(f"items_{s}"), F.col("c").alias(f"c_{s}"), F.col("r").alias(f"r_{s}"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    either = F.size(F.array_union("items_a", "items_b"))
-    pairs = side("a").join(side("b"), F.col("key_a") < F.col("key_b")).withColumn("d", F.when(either == 0, 0.0).otherwise(1 - both / either))
-    parts = [named.agg(F.count("*").alias("items"), F.countDistinct("c").alias("clusters"), F.countDistinct("r").alias("random_clusters"))]
-    for name, prefix in (("c", ""), ("r", "random_")):
-        size = lambda s, name=name: named.groupBy(F.col(name).alias(f"{name}_{s}")).agg(F.count("*").alias(f"n_{s}"))
-        sized = pairs.join(size("a"), f"{name}_a").join(size("b"), f"{name}_b")
-        inside = F.col(f"{name}_a") == F.col(f"{name}_b")
-        parts.append(
-            sized.agg(
-                F.coalesce(F.sum(F.when(inside, F.col("d") / F.col("n_a"))), F.lit(0.0)).alias(f"{prefix}intra"),
-                F.coalesce(F.sum(F.when(~inside, F.col("d") / (F.col("n_a") * F.col("n_b")))), F.lit(0.0)).alias(f"{prefix}inter"),
-                F.corr("d", inside.cast("double")).alias(f"{prefix}correlation"),
-            )
-        )
-    out = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+    groups = named.select("c").where("c IS NOT NULL").distinct().count()
+    named = cut(named.withColumn("r", F.floor(walks.hashed(seed, key) * groups).cast("string")))
+    sums = _pair_sums(*_blocks(named, items, ("c", "r"), block), 2)
+    row = named.agg(F.count("*").alias("items"), F.countDistinct("c").alias("clusters"), F.countDistinct("r").alias("random_clusters")).first().asDict()
+    for way, prefix, found in zip(("c", "r"), ("", "random_"), sums, strict=True):
+        members = named.where(F.col(way).isNotNull() & F.col(items).isNotNull()).groupBy(way).agg(F.count("*").alias("n"))
+        exact = members.select(F.col("n").cast("decimal(38,0)").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("inside")).first()
+        n, inside = int(exact["n"] or 0), int(exact["inside"] or 0) // 2
+        pairs = n * (n - 1) // 2
+        row[f"{prefix}intra"] = found["intra"] if inside else None
+        row[f"{prefix}inter"] = found["inter"] if inside < pairs else None
+        row[f"{prefix}correlation"] = None
+        if pairs:
+            # Without variance there is none, as in DuckDB.
+            share, mean = inside / pairs, found["d"] / pairs
+            varies = 0 < inside < pairs and found["low"] < found["high"]
+            row[f"{prefix}correlation"] = (found["inside"] / pairs - share * mean) / math.sqrt((found["dd"] / pairs - mean * mean) * share * (1 - share)) if varies else math.nan
+    schema = ", ".join(f"{x} {'long' if x.endswith(('items', 'clusters')) else 'double'}" for x in row)
+    out = named.sparkSession.createDataFrame([tuple(row.values())], schema)
     for prefix in ("", "random_"):
         out = out.withColumn(f"{prefix}ratio", F.col(f"{prefix}intra") / F.nullif(F.col(f"{prefix}inter"), F.lit(0.0)))
     for name in ("clusters", "intra", "inter", "correlation", "ratio"):

@@ -1,3 +1,10 @@
+import hashlib
+import math
+import random
+import statistics
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
@@ -124,3 +131,50 @@ def test_reporter_dir_without_samples(spark, tmp_path):
     from latticeforge.queries import QUERIES
 
     assert QUERIES["reporter_dir"](spark, _events_of_pairs(spark, tmp_path)).collect() == []
+
+
+def brute_metrics(rows):
+    """intra, inter and the correlation of (set, cluster), pair by pair."""
+    size = Counter(c for _, c in rows)
+    pairs = [(1 - len(a & b) / len(a | b) if a | b else 0.0, x, y) for (a, x), (b, y) in combinations(rows, 2)]
+    intra = sum(d / size[x] for d, x, y in pairs if x == y)
+    inter = sum(d / (size[x] * size[y]) for d, x, y in pairs if x != y)
+    return intra, inter, statistics.correlation([d for d, *_ in pairs], [float(x == y) for _, x, y in pairs])
+
+
+def _metrics(spark, rows, **more):
+    sets = spark.createDataFrame([(str(i), sorted(s)) for i, (s, _) in enumerate(rows)], "key string, items array<string>")
+    clusters = spark.createDataFrame([(str(i), c) for i, (_, c) in enumerate(rows)], "key string, cluster string")
+    return reporters.cluster_metrics(clusters, sets, **more).first()
+
+
+@pytest.mark.parametrize("clusters", [4, 60])
+def test_cluster_metrics_against_all_pairs(spark, clusters):
+    """Blocks of a few sets, repeated and empty sets, few and many clusters."""
+    rng = random.Random(5)
+    rows = [(frozenset(rng.sample("abcdefgh", rng.randrange(5))), str(rng.randrange(clusters))) for _ in range(150)]
+    got = _metrics(spark, rows, block=13)
+    dealt = [(s, math.floor(int(hashlib.md5(f"1|{i}".encode()).hexdigest()[:8], 16) / 2**32 * got["clusters"])) for i, (s, _) in enumerate(rows)]
+    for prefix, want in (("", brute_metrics(rows)), ("random_", brute_metrics(dealt))):
+        assert [got[prefix + x] for x in ("intra", "inter", "correlation")] == pytest.approx(want, abs=1e-9)
+    assert (got["items"], got["clusters"]) == (150, len({c for _, c in rows}))
+
+
+def test_cluster_metrics_of_more_than_20000_patterns(spark):
+    """Sets that differ by number only: distances and their sums are known."""
+    n, k = 24_000, 5
+    numbers = spark.range(n).withColumn("s", F.col("id") % 300)
+    sets = numbers.select(F.col("id").cast("string").alias("key"), F.array(F.lit("x"), F.concat(F.lit("s"), "s")).alias("items"))
+    clusters = numbers.select(F.col("id").cast("string").alias("key"), (F.col("s") % k).cast("string").alias("cluster"))
+    got = reporters.cluster_metrics(clusters, sets).first()
+    size, copies = n // k, n // 300  # two sets that differ are 2/3 apart
+    inside = size * (size - 1) // 2 - 300 // k * copies * (copies - 1) // 2
+    assert (got["items"], got["clusters"]) == (n, k)
+    assert got["intra"] == pytest.approx(k * inside * 2 / 3 / size) and got["inter"] == pytest.approx(k * (k - 1) / 2 * 2 / 3)
+
+
+def test_cluster_metrics_of_few_patterns(spark):
+    none = _metrics(spark, [])
+    assert none["items"] == 0 and none["intra"] is None and none["correlation"] is None
+    one = _metrics(spark, [({"a"}, "1"), ({"b"}, "1")])
+    assert one["intra"] == 0.5 and one["inter"] is None and math.isnan(one["correlation"])
