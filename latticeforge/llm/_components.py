@@ -2,11 +2,13 @@
 
 Every step is a minimum per node, combined on the map side and written before it is joined: adaptive execution splits
 the hot keys of a join only if no aggregate stands between it and the shuffle. A node's whole neighbourhood is never
-gathered.
+gathered. Callers may let links that are few be settled on the driver instead, where each step would cost several jobs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,35 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), rising, and the smallest node that each reaches."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def connected_components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Rows (node, root) of every node that has a link; root is the smallest node it reaches.
 
     ``links`` has two long columns, one row for a link in either direction; repeated rows, self-links and
-    nulls are ignored. No links give no rows.
+    nulls are ignored. No links give no rows. ``few`` links or less are settled on the driver, more by rounds of joins.
     """
     a, b = links.columns
     links = links.dropna(subset=[a, b])
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     edges = cut(edges.where("a > b").distinct())
     before = _state(edges)
+    if before[0] <= few:
+        found = edges.toArrow()
+        node, root = local_components(*(found.column(x).to_numpy() for x in ("a", "b")))
+        return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())}))
     for _ in range(max_rounds):
         if not before[0]:
             break

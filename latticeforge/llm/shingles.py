@@ -27,7 +27,7 @@ from .simhash import majority, pigeonring_stars
 #: Counters a text in the table that tells rare shingles from frequent ones, bits of the greatest number of them, and of those
 #: in a row. None changes a result: any one order finds all pairs, and that of rare shingles first finds them with the fewest candidates.
 COUNTERS, MOST_BITS, ROW_BITS = 64, 24, 16
-#: Rows of three numbers that may be broadcast; more are joined by a shuffle.
+#: Rows of three numbers that may be broadcast, and links whose components the driver finds; more are joined by a shuffle.
 FEW = 100_000
 #: Bits of parity, a multiple of 64.
 PARITIES = 1024
@@ -213,7 +213,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
         def roots() -> DataFrame:
             nonlocal links
-            found = cut(connected_components(links))
+            found = cut(connected_components(links, few=FEW))
             links = found.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as all so far, and settled sooner
             return found
 

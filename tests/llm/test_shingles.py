@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from latticeforge.llm import shingles
+from latticeforge.llm import _components, shingles
 
 from .test_simhash import brute_components
 
@@ -76,3 +76,16 @@ def test_every_text_counts_for_the_rarity_of_shingles(spark):
     shared = rarity[shingles._counter(shingles.shingle_hashes(passage), bits)]
     own = rarity[shingles._counter(shingles.shingle_hashes(rows[1][1]), bits)]
     assert shared.min() >= 16 * 5 > own.max() > 0
+
+
+def test_few_links_are_settled_without_rounds(spark, monkeypatch):
+    """The rounds of joins, many jobs each, are left to links that are many; either way gives the same components."""
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (None, 3)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {tuple(r) for r in _components.connected_components(links).collect()}
+    monkeypatch.setattr(_components, "_least", None)  # what every round begins with
+    assert {tuple(r) for r in _components.connected_components(links, few=1000).collect()} == want
+    assert _components.connected_components(links.limit(0), few=1000).collect() == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(("a b c d e", "A b c d e", "q", "q"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
