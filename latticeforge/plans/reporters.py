@@ -295,16 +295,20 @@ def file_report(folder: str, patterns: DataFrame, names: DataFrame, embeddings:
 
 def dir_report(folder: str, samples: DataFrame, embeddings: DataFrame | None = None) -> None:
     """A numbered folder for each sample (sample, key, pattern[, pr, matrices]) with its name, pattern, count of embeddings,
-    matrices and probability, one for each of its embeddings (sample, embedding, text), and the count of all."""
+    matrices and probability, one with all of its embeddings (sample, embedding, text), and the count of all.
+
+    An embedding is a numbered line of JSON, not a file of its own, so that files do not grow with the embeddings.
+    """
     number = {"key": "pattern.name", "pattern": "pattern", "pr": "pattern.pr", "matrices": "matrices.json"}
     for column, name in number.items():
         if column in samples.columns:
             rows = samples.select("sample", F.col(column).cast("string").alias("value")).where("value IS NOT NULL")
             rows.write.mode("overwrite").partitionBy("sample").text(f"{folder}/{name}")
     if embeddings is not None:
+        embeddings = cut(embeddings.select("sample", "embedding", "text"))
         counts = embeddings.groupBy("sample").agg(F.count("*").cast("string").alias("value"))
         counts.write.mode("overwrite").partitionBy("sample").text(f"{folder}/embeddings")
-        embeddings.select("sample", "embedding", F.col("text").alias("value")).write.mode("overwrite").partitionBy("sample", "embedding").text(f"{folder}/embedding")
+        embeddings.write.mode("overwrite").partitionBy("sample").json(f"{folder}/embedding")
     count(samples).select(F.col("count").cast("string")).write.mode("overwrite").text(f"{folder}/count")
 
 

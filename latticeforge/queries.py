@@ -740,14 +740,16 @@ def reporter_dir(spark, d):
     from pyspark.sql import Window
 
     lattice = _events(spark, d)
-    samples = lattice.patterns.where("size = 4").withColumn("sample", F.row_number().over(Window.orderBy("key")) - 1).withColumn("pattern", F.col("key"))
-    txs = lattice.tx_lists().join(samples.select("key", "sample"), "key").select("sample", F.posexplode("txs").alias("embedding", "text"))
+    samples = cut(lattice.patterns.where("size = 4").withColumn("sample", F.row_number().over(Window.orderBy("key")) - 1).withColumn("pattern", F.col("key")))
+    number = F.row_number().over(Window.partitionBy("sample").orderBy("tx")) - 1
+    txs = lattice.members.join(samples.select("items", "sample"), "items").select("sample", number.alias("embedding"), F.col("tx").alias("text"))
     with scratch(spark) as path:
-        reporters.dir_report(path, samples.select("sample", "key", "pattern"), txs.where("embedding < 2"))
+        reporters.dir_report(path, samples.select("sample", "key", "pattern"), txs)
         names = spark.read.text(f"{path}/pattern.name")
         names = names if "sample" in names.columns else names.withColumn("sample", F.lit(None))  # no sample, no folder
         names = names.select(F.col("sample").cast("int").alias("sample"), F.col("value").alias("name"))
-        counts = txs.groupBy("sample").agg(F.count("*").alias("embeddings"))
+        written = spark.read.schema("sample int, embedding int, text string").json(f"{path}/embedding")
+        counts = written.groupBy("sample").agg(F.count("*").alias("embeddings"))
         n = spark.read.text(f"{path}/count").first()["value"]
         return cut(names.join(counts, "sample").select("sample", "name", "embeddings", F.lit(int(n)).cast("long").alias("all_samples")))
 

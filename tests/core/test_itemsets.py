@@ -133,6 +133,36 @@ def test_reporter_dir_without_samples(spark, tmp_path):
     assert QUERIES["reporter_dir"](spark, _events_of_pairs(spark, tmp_path)).collect() == []
 
 
+def test_reporter_dir_writes_every_embedding(spark, tmp_path, monkeypatch):
+    from latticeforge.queries import QUERIES
+
+    rows = [(4 * u + i, u, "abcd"[i]) for u in range(7) for i in range(4)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("*", "TIMESTAMP'2024-01-01' AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    report, written = reporters.dir_report, {}
+
+    def reported(folder, *more):
+        report(folder, *more)
+        for name in ("embeddings", "embedding", "pattern"):
+            written[name] = [r["value"] for r in spark.read.text(f"{folder}/{name}").collect()]
+
+    monkeypatch.setattr(reporters, "dir_report", reported)
+    assert [tuple(r) for r in QUERIES["reporter_dir"](spark, str(tmp_path)).collect()] == [(0, "a b c d", 7, 1)]
+    assert written["embeddings"] == ["7"] and len(written["embedding"]) == 7 and written["pattern"] == ["a b c d"]
+    assert all(sum(f"{u}:2024-01-01" in line for line in written["embedding"]) == 1 for u in range(7))
+
+
+def test_dir_report_reads_back(spark, tmp_path):
+    """Every embedding under its sample and number, line breaks within and all."""
+    embeddings = [(s, i, f"{s}\n{i}") for s, n in ((0, 3), (1, 5)) for i in range(n)]
+    samples = spark.createDataFrame([(0, "a", "A"), (1, "b", "B")], "sample int, key string, pattern string")
+    reporters.dir_report(str(tmp_path), samples, spark.createDataFrame(embeddings, "sample int, embedding int, text string"))
+    text = lambda name: sorted((r["sample"], r["value"]) for r in spark.read.text(f"{tmp_path}/{name}").collect())
+    assert (text("pattern.name"), text("pattern"), text("embeddings")) == ([(0, "a"), (1, "b")], [(0, "A"), (1, "B")], [(0, "3"), (1, "5")])
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/embedding").select("sample", "embedding", "text").collect())) == embeddings
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/count").collect()] == ["2"]
+
+
 def brute_metrics(rows):
     """intra, inter and the correlation of (set, cluster), pair by pair."""
     size = Counter(c for _, c in rows)
